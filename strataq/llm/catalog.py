@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("toxicity", "quality", "secrets", "url_filter")
+MODULES = ("toxicity", "lm_score", "quality", "secrets", "url_filter")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
