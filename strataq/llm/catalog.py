@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("toxicity", "token_shards", "lm_score", "quality", "secrets", "url_filter")
+MODULES = ("toxicity", "token_shards", "lm_score", "quality", "secrets", "url_filter", "warc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
