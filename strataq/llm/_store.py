@@ -35,7 +35,7 @@ def kept(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """``df`` written as a table in the shared folder and read again (this cuts its lineage), and its folder."""
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
