@@ -20,9 +20,11 @@ their partition; each partition streams its shard to the shared folder under a
 name that its number fixes, so a repeated task writes the same file again.
 Only one row a shard reaches the driver, for the shards' starting positions.
 
-Words are encoded by the tokenizers library once for each distinct piece of a
-slice of texts: the tokenizer's own rules never join what space, or 0x09-0x0D,
-parts.  ``PIECES`` bounds a task's memory of encoded pieces.
+Pieces are encoded by the tokenizers library, and a worker remembers up to
+``PIECES`` of them.  A text falls into pieces where the tokenizer's own rules
+never join: at space and 0x09-0x0D, and between a letter and the marks that end
+a word.  The tokenizer lower-cases, so pieces are remembered in lower case, but
+for texts with "<|", which may name a special token.
 
 Defined cases: a null text is empty and has the end id alone; a null identifier
 has the empty key, which sorts first; rows that repeat an identifier are all
@@ -32,6 +34,7 @@ or none; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -40,6 +43,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -47,13 +51,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm._store import new_dir, opened, put
-from strataq.llm._text import codes_of, slices, words_of
+from strataq.llm._text import codes_of, slices, texts, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 FILTER_BITS, FILTER_HASHES = 10, 7
-PIECES = 200_000
+PIECES = 800_000
+TAIL = ".,;:!?"
 MAGIC = b"SQSST\x01\0\0"
 FOOTER = struct.Struct("<QQQQIB3x8s")
 INDEX = struct.Struct("<QIIIQH")
@@ -222,30 +227,39 @@ class Shard:
 
 
 class Encoder:
-    """Ids of whole texts, by distinct pieces."""
+    """Ids of whole texts, by pieces."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.lowers = '"Lowercase"' in self.library.to_str()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > PIECES:
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for p, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[p] = np.array(x.ids, f"<u{self.width}").tobytes()
+
     def __call__(self, column: pa.Array) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
-        words, counts = words_of(column, lower=False)
+        column = texts(column)
+        lower = self.lowers and not pc.any(pc.match_substring(column, "<|")).as_py()
+        words, counts = words_of(column, lower=lower)
         codes, distinct = codes_of(words)
+        stems = [w.rstrip(TAIL) for w in distinct]
+        parts = [(s, w[len(s) :]) if len(s) < len(w) and s[-1:].isalpha() and lower else (w, "") for w, s in zip(distinct, stems)]
+        self._learn({x for p in parts for x in p})
+        known = self.known
+        pieces = [known[a] + known[b] if b else known[a] for a, b in parts]
         kind = np.dtype(f"<u{self.width}")
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > PIECES:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(x.ids, kind).tobytes()
-        pieces = [self.known[w] for w in distinct]
-        size = np.fromiter((len(p) // self.width for p in pieces), np.int64, len(pieces))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
         flat, starts = np.frombuffer(b"".join(pieces), kind), np.cumsum(size) - size
         lengths = size[codes]
         ends = np.cumsum(lengths)
@@ -255,10 +269,16 @@ class Encoder:
         return [ids[a:b].tobytes() + tail for a, b in zip(np.concatenate(([0], total[:-1])), total)]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept for its later tasks."""
+    return Encoder(path)
+
+
 def _writing(folder: str, path: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        encode = Encoder(path)
+        encode = encoder(path)
         writer = ShardWriter(encode.width)
 
         def items() -> Iterator[tuple[bytes, bytes]]:
