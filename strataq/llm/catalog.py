@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("toxicity", "token_shards", "lm_score", "quality", "secrets", "url_filter", "jaccard_join", "decontaminate", "warc")
+MODULES = ("toxicity", "token_shards", "lm_score", "mixture", "quality", "secrets", "url_filter", "jaccard_join", "decontaminate", "warc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
