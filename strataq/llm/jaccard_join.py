@@ -16,9 +16,16 @@ The join is exact up to hash collisions, and no candidate is dropped.
    by class of count.  Sets whose shared shingles are too few are done.  Of the
    rest, similar sets share a shingle in their prefixes of
    ``n - ceil(PERCENT * n / 100) + 1``.
-4. Sets of the same size and prefix form one group; groups that share a prefix
-   shingle are paired, filtered by size and position, expanded to members, and
-   each pair of sets is verified on its shared shingles.
+4. Sets of the same size and prefix form one group, and groups that share a
+   prefix shingle are candidates.  Verification starts with stars: each set
+   against ``HUBS`` hubs of other classes among its candidates (the least by as
+   many hashes), again while that joins many classes, and the head of its group.
+   This joins large groups of near copies without their pairs.  Then every
+   candidate pair of groups, filtered by size and position, is expanded to the
+   members that are not yet in one class; those whose sketches (the parities of
+   512 hashed parts of a set) differ in more places than similar sets can differ
+   in shingles are done, and each other pair is verified.  So a pair goes unverified only if its sets are known to be in one class, and
+   the classes are those of all links.
 5. Classes are the connected components of the links: labels are propagated
    and halved until they rest, with a table in the shared folder each round.
 
@@ -40,10 +47,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm._store import drop, kept
-from strataq.llm._text import combine, hashed_words, slices
+from strataq.llm._text import combine, hashed_words, mix, slices
 
 WIDTH, PERCENT = 5, 75
 RARE, HEAVY_IN_BATCH, HEAVY_LEAST = 1000, 16, 64
+HUBS, ROUNDS = 3, 2
+SKETCH = 8  # words of 64 bits
 _LOW, _BYTE = np.uint64((1 << 48) - 1), np.uint64(255)
 _HEAVY_CLASS = 200
 #: Packed rows of the two exchanges.
@@ -78,16 +87,21 @@ def _named(key: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
+            done, often = {0}, []
             for part in slices(batch, "text"):
                 sets, names = shingle_sets(part.column("text"))
-                seen.update(zip(names.tolist(), sets))
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(names), pa.array(np.fromiter(map(len, sets), np.int64, n)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], [key, "node", "n", "shingle", "docs"])
-            shingles, docs = np.unique(np.concatenate(list(seen.values())), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = docs >= max(HEAVY_IN_BATCH, batch.num_rows // RARE)
-            if k := int(np.count_nonzero(often)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(key).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(shingles[often].view(np.int64)), pa.array(docs[often])], [key, "node", "n", "shingle", "docs"])
+                new = [x for x, name in zip(sets, names.tolist()) if not (name in done or done.add(name))]
+                if new:
+                    shingles, docs = np.unique(np.concatenate(new), return_counts=True)
+                    often.append((shingles[docs > 1], docs[docs > 1]))
+            if often:
+                shingles, at = np.unique(np.concatenate([x[0] for x in often]), return_inverse=True)
+                docs = np.bincount(at, weights=np.concatenate([x[1] for x in often]), minlength=len(shingles)).astype(np.int64)
+                heavy = docs >= max(HEAVY_IN_BATCH, batch.num_rows // RARE)
+                if k := int(np.count_nonzero(heavy)):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(key).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(shingles[heavy].view(np.int64)), pa.array(docs[heavy])], [key, "node", "n", "shingle", "docs"])
 
     return run
 
@@ -212,7 +226,10 @@ def _choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = np.unique(keys[cuts[i] : cuts[i + 1]]), int(sizes[i])
         if len(own) >= (least := _least(n)):
             prefix = own[: len(own) - least + 1].tobytes()
-            out.append((int(names[i]), n, n - len(own), len(own) - least + 1, np.uint64(xxhash.xxh3_64_intdigest(prefix, n)).astype(np.int64).item(), own.tobytes()))
+            parity = np.bincount((mix(own) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+            sketch = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+            group = np.uint64(xxhash.xxh3_64_intdigest(prefix, n)).astype(np.int64).item()
+            out.append((int(names[i]), n, n - len(own), len(own) - least + 1, group, own.tobytes(), *sketch))
         if len(out) == 1000:
             yield _eligible(out)
             out = []
@@ -221,10 +238,10 @@ def _choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _eligible(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary()))], ["node", "n", "unshared", "length", "grp", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.binary(), *[pa.int64()] * SKETCH))], ["node", "n", "unshared", "length", "grp", "keys", *(f"s{k}" for k in range(SKETCH))])
 
 
-ELIGIBLE = "node long, n long, unshared long, length long, grp long, keys binary"
+ELIGIBLE = "node long, n long, unshared long, length long, grp long, keys binary" + "".join(f", s{k} long" for k in range(SKETCH))
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +277,7 @@ def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_sets(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, list[str]]:
-    """Documents (``key``, node, n) and links between nodes (a < b), with the folders that hold them. Node 0 is the empty set."""
+    """Documents (``key``, node, n) and links between nodes (a < b) whose components are those of all links, with the folders that hold them. Node 0 is the empty set."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
@@ -277,22 +294,76 @@ def link_sets(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFram
     shared = dealt.mapInArrow(_counting(buckets), PACKED).repartition(buckets, "bucket")
     eligible, at_eligible = kept(shared.mapInArrow(_choosing, ELIGIBLE), "join-sets")
 
-    groups = eligible.groupBy("grp").agg(F.min("node").alias("node"), F.count("*").alias("members"))
+    groups, at_groups = kept(eligible.groupBy("grp").agg(F.min("node").alias("node")), "join-groups")
     heads = eligible.join(groups.select("node"), "node", "left_semi")
     postings, at_postings = kept(heads.mapInArrow(_postings, "shingle long, grp long, n long, place long"), "join-postings")
-    a, b = (postings.select(*(F.col(c).alias(c if c == "shingle" else f"{c}_{x}") for c in postings.columns)) for x in "ab")
-    fits = (F.col("grp_a") < F.col("grp_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    fits &= (100 + PERCENT) * room >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    pairs = a.join(b, "shingle").where(fits).select("grp_a", "grp_b").distinct()
-    pairs = pairs.unionAll(groups.where("members > 1").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b")))
 
-    x, y = (eligible.select(F.col("grp").alias(f"grp_{s}"), F.col("node").alias(s)) for s in "ab")
-    pairs = pairs.join(x, "grp_a").join(y, "grp_b").where("grp_a <> grp_b or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # stars: each set against a few hubs of other classes, again while that joins many
+    parts, at_parts = kept(eligible.select("node", "grp", F.col("node").alias("label")), "join-parts")
+    heads_of = eligible.select("node", "grp").join(groups.withColumnRenamed("node", "other"), "grp").where("node <> other")
+    links, folders = spark.createDataFrame([], "a long, b long"), []
+    for turn in range(ROUNDS):
+        rest, at_rest = _between(postings, parts)
+        hub = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "grp", "label").alias("h"), "grp", "label")).alias(f"hub{k}")  # noqa: B023, E731
+        hubs, at_hubs = kept(rest.groupBy("shingle").agg(*map(hub, range(HUBS))), "join-hubs")
+        other = lambda k: F.min(F.when(F.col(f"hub{k}.label") != F.col("label"), F.col(f"hub{k}")))
+        near = rest.select("shingle", "grp", "label").join(hubs, "shingle").groupBy("grp", "label").agg(F.array(*map(other, range(HUBS))).alias("hubs"))
+        near = near.select("grp", "label", F.explode(F.array_compact("hubs")).alias("hub")).select("grp", "label", F.col("hub.grp").alias("hub_grp"), F.col("hub.label").alias("hub_label")).distinct()
+        chosen = parts.groupBy(F.col("grp").alias("hub_grp"), F.col("label").alias("hub_label")).agg(F.min("node").alias("other"))
+        stars = parts.join(near, ["grp", "label"]).join(chosen, ["hub_grp", "hub_label"]).select("node", "other")
+        stars = stars if turn else stars.unionAll(heads_of.select("node", "other"))
+        found, at_found = _verified(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), eligible)
+        links, folders = links.unionAll(found), [*folders, at_found]
+        labels, at_labels = components(links)
+        before = rest.select("label").distinct().count()
+        old, at_old = parts, at_parts
+        parts, at_parts = kept(eligible.select("node", "grp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-parts")
+        joined = old.select("label").distinct().count() - parts.select("label").distinct().count()
+        drop(spark, at_rest, at_hubs, at_old, *at_labels)
+        if joined <= before // 100:
+            break
+
+    # then all pairs that are not yet in one class; a part of one set is sketched before its shingles meet others
+    sketch = ["unshared", *(f"s{k}" for k in range(SKETCH))]
+    sketched, at_sketched = kept(parts.join(eligible.select("node", "n", *sketch), "node"), "join-sketched")
+    alone = sketched.groupBy("grp", "label").agg(F.first("n").alias("n"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in sketch))
+    alone, at_alone = kept(alone.select("grp", "label", "n", *(F.when(F.col("members") == 1, F.col(c)).alias(c) for c in sketch)), "join-alone")
+    rest, at_rest = _between(postings, parts)
+    rest = rest.join(alone.drop("n"), ["grp", "label"])
+    x, y = (rest.select(*(F.col(c).alias(c if c == "shingle" else f"{c}_{s}") for c in rest.columns)) for s in "ab")
+    apart = F.col("unshared_a") + F.col("unshared_b") + sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
+    both = F.col("n_a") + F.col("n_b")
+    near = F.coalesce((100 + PERCENT) * (both - apart) >= 2 * PERCENT * both, F.lit(True))
+    fits = (F.col("label_a") < F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    fits &= (100 + PERCENT) * room >= PERCENT * both
+    pairs = x.join(y, "shingle").where(fits & near).select("grp_a", "label_a", "grp_b", "label_b").distinct()
+    inside = parts.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("grp")
+    same = alone.join(inside, "grp", "left_semi")
+    x, y = (same.select("grp", *(F.col(c).alias(f"{c}_{s}") for c in ("label", "n", *sketch))) for s in "ab")
+    same = x.join(y, "grp").where((F.col("label_a") < F.col("label_b")) & near)
+    pairs = pairs.unionAll(same.select(F.col("grp").alias("grp_a"), "label_a", F.col("grp").alias("grp_b"), "label_b")).distinct()
+    x, y = (sketched.select(*(F.col(c).alias(f"{c}_{s}") for c in sketched.columns if c != "node"), F.col("node").alias(s)) for s in "ab")
+    pairs = pairs.join(x, ["grp_a", "label_a"]).join(y, ["grp_b", "label_b"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found, at_found = _verified(pairs, eligible)
+    drop(spark, at_eligible, at_groups, at_postings, at_parts, at_rest, at_sketched, at_alone)
+    return documents, links.unionAll(found), [at_named, *folders, at_found]
+
+
+def _between(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, str]:
+    """Prefix shingles of the parts (grp, label) of groups, but only shingles that several labels have; and their folder."""
+    by_part = postings.join(parts.select("grp", "label").distinct(), "grp")
+    several, at = kept(by_part.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"), "join-several")
+    rest, at_rest = kept(by_part.join(several, "shingle", "left_semi"), "join-rest")
+    drop(postings.sparkSession, at)
+    return rest, at_rest
+
+
+def _verified(pairs: DataFrame, eligible: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of nodes whose sets are similar, as a table, and its folder."""
     x, y = (eligible.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
-    links, at_links = kept(pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "keys_a", "keys_b").mapInArrow(_verifying, "a long, b long"), "join-links")
-    drop(spark, at_eligible, at_postings)
-    return documents, links, [at_named, at_links]
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "keys_a", "keys_b")
+    return kept(both.mapInArrow(_verifying, "a long, b long"), "join-links")
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -314,26 +385,53 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
             return labels, [at]
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """For every row: ``key``, n_shingles, component_id (the class's least key) and n_links (rows that it links with)."""
-    spark = docs.sparkSession
+def classify(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, list[str]]:
+    """Documents (``key``, node, n), and for each node but 0: component_id, least (key) and keeper (one node of each class); and folders."""
     documents, links, paths = link_sets(docs, key)
-    nodes, at_nodes = kept(documents.where("node <> 0").groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("rows")), "join-nodes")
+    nodes, at_nodes = kept(documents.where("node <> 0").groupBy("node").agg(F.min(key).alias("least")), "join-nodes")
     labels, at_labels = components(links)
-    ends = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(nodes.select(F.col("node").alias("b"), "rows"), "b").groupBy("a").agg(F.sum("rows").alias("near"))
-    labelled, at_labelled = kept(nodes.join(labels, "node", "left").join(degree.withColumnRenamed("a", "node"), "node", "left").withColumn("label", F.coalesce("label", "node")), "join-labelled")
-    classes = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_node, at_by_node = kept(labelled.join(classes, "label").select("node", "component_id", (F.coalesce("near", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "join-classes")
-    empty = documents.where("node = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    full = documents.where("node <> 0").join(by_node, "node").select(key, F.col("n").alias("n_shingles"), "component_id", "n_links")
+    labelled, at_labelled = kept(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-labelled")
+    # null identifiers come last
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    classes = labelled.groupBy("label").agg(first.alias("first"))
+    by_node, at_by_node = kept(
+        labelled.join(classes, "label").select("node", "least", F.col("first.least").alias("component_id"), (F.col("first.node") == F.col("node")).alias("keeper")),
+        "join-classes",
+    )
+    return documents, by_node, [*paths, at_nodes, *at_labels, at_labelled, at_by_node]
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For every row: ``key``, n_shingles and component_id (the class's least key)."""
+    documents, by_node, paths = classify(docs, key)
+    empty = documents.where("node = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
+    full = documents.where("node <> 0").join(by_node, "node").select(key, F.col("n").alias("n_shingles"), "component_id")
     result, _ = kept(full.unionAll(empty), "join-result")
-    drop(spark, *paths, at_nodes, *at_labels, at_labelled, at_by_node)
+    drop(docs.sparkSession, *paths)
     return result
 
 
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shingle_sets(part.column("text"))[1])], [*part.schema.names, "__sq_node"])
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with their own columns, but of each class only one: that of the least ``key``. Rows with empty sets all stay."""
+    documents, by_node, _ = classify(docs, key)
+    doubled, _ = kept(documents.where("node <> 0").groupBy(key, "node").count().where("count > 1").select(F.col("node").alias("__sq_node")).distinct(), "join-doubled")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.mapInArrow(_with_node, f"{schema}, __sq_node long")
+    keepers = by_node.where("keeper").select(F.col("node").alias("__sq_node"), F.col("least").alias("__sq_least"))
+    rest = rows.join(keepers, (rows["__sq_node"] == keepers["__sq_node"]) & rows[key].eqNullSafe(keepers["__sq_least"]), "left_semi")
+    if not doubled.isEmpty():  # rows that repeat identifier and set
+        rest = rest.join(doubled, "__sq_node", "left_anti").unionByName(rest.join(doubled, "__sq_node", "left_semi").dropDuplicates([key, "__sq_node"]))
+    return rest.unionByName(rows.where("__sq_node = 0")).select(*docs.columns)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class and the number of links of every document."""
+    """The set's size and the near-duplicate class of every document."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
@@ -352,6 +450,6 @@ WITH RECURSIVE w AS (
 ), r AS (
   SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other
 )
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, coalesce(k.k, 0)::BIGINT AS n_links
-FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(other) AS c FROM r GROUP BY id) c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS k FROM l GROUP BY a) k USING (doc_id)"""
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(other) AS c FROM r GROUP BY id) c USING (doc_id)"""
 }
