@@ -254,7 +254,7 @@ class Encoder:
         words, counts = words_of(column, lower=lower)
         codes, distinct = codes_of(words)
         stems = [w.rstrip(TAIL) for w in distinct]
-        parts = [(s, w[len(s) :]) if len(s) < len(w) and s[-1:].isalpha() and lower else (w, "") for w, s in zip(distinct, stems)]
+        parts = [(s, w[len(s) :]) if len(s) < len(w) and s[-1:].lower().isalpha() and lower else (w, "") for w, s in zip(distinct, stems)]
         self._learn({x for p in parts for x in p})
         known = self.known
         pieces = [known[a] + known[b] if b else known[a] for a, b in parts]
