@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.llm._store import drop, kept
+
 # Host, path and verdict of each rule.
 RULES = (
     ("org", "/", "allow"),
@@ -62,10 +64,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def unigrams(texts: DataFrame, column: str, size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the ``size`` most frequent words of a-z in all rows."""
+    """Counts of the most frequent words of a-z in all rows: as many as ``size`` allows without parting words of about the same count."""
     words = texts.select(F.explode(F.split(F.lower(F.col(column)), "[^a-z]+")).alias("w")).where((F.length("w") > 0) & (F.length("w") <= LONGEST))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return {r["w"]: r["n"] for r in top.collect()}  # bounded by size
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 16)).cast("long")
+    counts, at = kept(words.groupBy("w").agg(F.count("*").alias("n")).withColumn("level", level), "unigrams")
+    left, least = size, None
+    for r in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # two thousand levels at most
+        left -= r["words"]
+        if left < 0:
+            break
+        least = r["level"]
+    top = {r["w"]: r["n"] for r in counts.where(F.col("level") >= least).collect()} if least is not None else {}  # ``size`` at most
+    drop(texts.sparkSession, at)
+    return top
 
 
 class Segmenter:
