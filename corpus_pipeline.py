@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataq.llm import decontaminate, jaccard_join, mixture, quality, token_shards
-from strataq.llm._store import kept
+from strataq.llm._store import drop, kept
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs, _ = kept(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        docs, at = kept(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        drop(spark, *done)  # what only this stage has read
+        done = [at]
     return docs

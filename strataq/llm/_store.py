@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder; where none is set, a temporary one that becomes the session's checkpoint folder."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strataq-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strataq-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 

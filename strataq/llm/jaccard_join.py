@@ -145,6 +145,7 @@ def _dealing(heavy: np.ndarray, weight: np.ndarray, buckets: int):
                     keys = _keys(weight[at[often]], _bucket(shingles[often], buckets).astype(np.uint64), shingles[often] & _LOW)
                     rows += _by_bucket(2, owner[often].view(np.uint64) % np.uint64(buckets), buckets, owner[often], keys)
                 yield _packed(rows)
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -164,17 +165,19 @@ def _counting(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    sets, keys = by_bucket.setdefault(row["bucket"], ([], []))
-                    sets.append(row["sets"])
-                    keys.append(row["keys"])
-                else:
-                    yield _packed([(row["bucket"], row["kind"], row["sets"], row["keys"], b"")])
+            buckets_of, kinds = batch.column("bucket").to_pylist(), batch.column("kind").to_pylist()
+            passed = [i for i, kind in enumerate(kinds) if kind]
+            if passed:
+                yield batch.take(pa.array(passed))
+            for i, kind in enumerate(kinds):
+                if kind == 0:  # views of the batch, not copies
+                    sets, keys = by_bucket.setdefault(buckets_of[i], ([], []))
+                    sets.append(np.frombuffer(batch.column("sets")[i].as_buffer(), np.int64))
+                    keys.append(np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint8))
         while by_bucket:
             bucket, (sets, keys) = by_bucket.popitem()
-            owner, low = np.frombuffer(b"".join(sets), np.int64), np.zeros((sum(map(len, keys)) // 6, 8), np.uint8)
-            low[:, :6] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 6)
+            owner, low = np.concatenate(sets), np.zeros((sum(map(len, keys)) // 6, 8), np.uint8)
+            low[:, :6] = np.concatenate(keys).reshape(-1, 6)
             low = low.view("<u8").ravel()
             del sets, keys
             order = np.argsort(low, kind="stable")
@@ -194,6 +197,8 @@ def _counting(buckets: int):
             rows = _by_bucket(2, owner[shared].view(np.uint64) % np.uint64(buckets), buckets, owner[shared], keys)
             if rows:
                 yield _packed(rows)
+            del owner, low, order, edge, docs, keys, rows
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -290,8 +295,8 @@ def link_sets(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFram
     heavy = np.array([r[0] for r in rows], np.uint64)
     weight = _HEAVY_CLASS + np.minimum(255 - _HEAVY_CLASS, np.log2([r[1] for r in rows] or [1.0])).astype(np.int64)
 
-    dealt = docs.select("text").mapInArrow(_dealing(heavy, weight, buckets), PACKED).repartition(buckets, "bucket")
-    shared = dealt.mapInArrow(_counting(buckets), PACKED).repartition(buckets, "bucket")
+    dealt = docs.select("text").mapInArrow(_dealing(heavy, weight, buckets), PACKED).repartitionById(buckets, F.col("bucket").cast("int"))
+    shared = dealt.mapInArrow(_counting(buckets), PACKED).repartitionById(buckets, F.col("bucket").cast("int"))
     eligible, at_eligible = kept(shared.mapInArrow(_choosing, ELIGIBLE), "join-sets")
 
     groups, at_groups = kept(eligible.groupBy("grp").agg(F.min("node").alias("node")), "join-groups")

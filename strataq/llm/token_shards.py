@@ -57,7 +57,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 FILTER_BITS, FILTER_HASHES = 10, 7
-PIECES = 800_000
+PIECES = 600_000
 TAIL = ".,;:!?"
 MAGIC = b"SQSST\x01\0\0"
 FOOTER = struct.Struct("<QQQQIB3x8s")
@@ -309,6 +309,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
 def _reading(key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # the worker has written its shards
         names = [key, "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for uri, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
