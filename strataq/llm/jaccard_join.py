@@ -398,12 +398,12 @@ def classify(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame
     labelled, at_labelled = kept(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-labelled")
     # null identifiers come last
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
-    classes = labelled.groupBy("label").agg(first.alias("first"))
+    classes, at_classes = kept(labelled.groupBy("label").agg(first.alias("first")), "join-firsts")
     by_node, at_by_node = kept(
         labelled.join(classes, "label").select("node", "least", F.col("first.least").alias("component_id"), (F.col("first.node") == F.col("node")).alias("keeper")),
         "join-classes",
     )
-    return documents, by_node, [*paths, at_nodes, *at_labels, at_labelled, at_by_node]
+    return documents, by_node, [*paths, at_nodes, *at_labels, at_labelled, at_classes, at_by_node]
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
