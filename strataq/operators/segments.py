@@ -43,7 +43,9 @@ def merge_oldest(segments: DataFrame, count: int = 2) -> DataFrame:
 
 
 def sparse_index(segments: DataFrame, every: int) -> DataFrame:
-    """Each segment's first key and every ``every``-th after it; and its last key if the last block has more than one."""
+    """Each segment's first key and every ``every``-th after it; and its last key if the last block has more than one.
+
+    Keys are numbered by a window over the segment, of keys alone; it spills, and a flushed segment's size is bounded by an option."""
     ordered = Window.partitionBy("segment_id").orderBy("key")
     rows = segments.select("segment_id", "key").withColumn("rn", F.row_number().over(ordered)).withColumn("n", F.count("*").over(Window.partitionBy("segment_id")))
     first = (F.col("rn") - 1) % every == 0
