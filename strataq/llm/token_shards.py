@@ -57,7 +57,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_BYTES = 64 << 10
 FILTER_BITS, FILTER_HASHES = 10, 7
-PIECES = 600_000
+PIECES = 800_000
+ENCODED_BYTES = 8 << 20  # of texts at once: the more, the fewer pieces come again
 TAIL = ".,;:!?"
 MAGIC = b"SQSST\x01\0\0"
 FOOTER = struct.Struct("<QQQQIB3x8s")
@@ -283,7 +284,7 @@ def _writing(folder: str, path: str, key: str):
 
         def items() -> Iterator[tuple[bytes, bytes]]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", ENCODED_BYTES):
                     yield from zip(map(key_of, part.column(key).to_pylist()), encode(part.column("text")))
 
         uri = f"{folder}/shard-{number:06d}.sst"
