@@ -25,7 +25,7 @@ The join is exact up to hash collisions, and no candidate is dropped.
    members that are not yet in one class; those whose sketches (the parities of
    512 hashed parts of a set) differ in more places than similar sets can differ
    in shingles are done, and each other pair is verified.  So a pair goes unverified only if its sets are known to be in one class, and
-   the classes are those of all links.
+   the classes are those of all links.  ``link_counts`` verifies these pairs too.
 5. Classes are the connected components of the links: labels are propagated
    and halved until they rest, with a table in the shared folder each round.
 
@@ -53,6 +53,7 @@ WIDTH, PERCENT = 5, 75
 RARE, HEAVY_IN_BATCH, HEAVY_LEAST = 1000, 16, 64
 HUBS, ROUNDS = 3, 2
 SKETCH = 8  # words of 64 bits
+BLOCK, KEYS_AT_ONCE = 64, 1 << 16
 _LOW, _BYTE = np.uint64((1 << 48) - 1), np.uint64(255)
 _HEAVY_CLASS = 200
 #: Packed rows of the two exchanges.
@@ -283,6 +284,13 @@ def _verifying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def link_sets(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, list[str]]:
     """Documents (``key``, node, n) and links between nodes (a < b) whose components are those of all links, with the folders that hold them. Node 0 is the empty set."""
+    documents, links, paths, _, at_eligible = _linked(docs, key)
+    drop(docs.sparkSession, at_eligible)
+    return documents, links, paths
+
+
+def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str], DataFrame, str]:
+    """As ``link_sets``, and the sets that may link, with their folder."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
@@ -351,8 +359,8 @@ def link_sets(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFram
     x, y = (sketched.select(*(F.col(c).alias(f"{c}_{s}") for c in sketched.columns if c != "node"), F.col("node").alias(s)) for s in "ab")
     pairs = pairs.join(x, ["grp_a", "label_a"]).join(y, ["grp_b", "label_b"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found, at_found = _verified(pairs, eligible)
-    drop(spark, at_eligible, at_groups, at_postings, at_parts, at_rest, at_sketched, at_alone)
-    return documents, links.unionAll(found), [at_named, *folders, at_found]
+    drop(spark, at_groups, at_postings, at_parts, at_rest, at_sketched, at_alone)
+    return documents, links.unionAll(found), [at_named, *folders, at_found], eligible, at_eligible
 
 
 def _between(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, str]:
@@ -416,6 +424,62 @@ def similar_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return result
 
 
+def _linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks: the documents that each set's links reach in the other block."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {c: batch.column(c)[r] for c in batch.schema.names}
+            (node_a, n_a, docs_a, keys_a), (node_b, n_b, docs_b, keys_b) = (
+                (*(row[f"{c}_{s}"].values.to_numpy() for c in ("nodes", "ns", "docs")), [np.frombuffer(k.as_py(), np.uint64) for k in row[f"keys_{s}"].values]) for s in "ab"
+            )
+            every_a, every_b = np.concatenate(keys_a), np.concatenate(keys_b)
+            both = np.intersect1d(every_a, every_b)
+            common = np.zeros((len(n_a), len(n_b)))
+            for at in range(0, len(both), KEYS_AT_ONCE):
+                some = both[at : at + KEYS_AT_ONCE]
+                common += _members(every_a, keys_a, some) @ _members(every_b, keys_b, some).T
+            good = 100 * common >= PERCENT * (n_a[:, None] + n_b[None, :] - common)
+            if row["block_a"].as_py() == row["block_b"].as_py():
+                nodes, links = node_a, (good & ~np.eye(len(n_a), dtype=bool)) @ docs_a
+            else:
+                nodes, links = np.concatenate((node_a, node_b)), np.concatenate((good @ docs_b, docs_a @ good))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64))], ["node", "links"])
+
+
+def _members(every: np.ndarray, keys: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """Which of ``some`` (ascending) each set has, as a matrix."""
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    at = np.minimum(np.searchsorted(some, every), len(some) - 1)
+    out = np.zeros((len(keys), len(some)), np.float32)
+    hit = some[at] == every
+    out[owner[hit], at[hit]] = 1
+    return out
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For every row: ``key`` and n_links, the number of other rows whose sets link with its own.
+
+    Links lie within classes, so each class's sets are cut into blocks of about
+    ``BLOCK`` and all pairs of blocks are counted as matrices, summed by set:
+    every pair of a class is verified, but none is a row.
+    """
+    documents, links, paths, eligible, at_eligible = _linked(docs, key)
+    labels, at_labels = components(links)
+    copies = documents.where("node <> 0").groupBy("node").agg(F.count("*").alias("docs"))
+    copies, at_copies = kept(copies, "join-copies")
+    sets = eligible.select("node", "n", "keys").join(labels, "node").join(copies, "node")
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sets = sets.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    packed = sets.groupBy("label", "block").agg(F.collect_list(F.struct("node", "n", "docs", "keys")).alias("x"))
+    packed, at_packed = kept(packed.select("label", "block", *(F.col(f"x.{c}").alias(d) for c, d in (("node", "nodes"), ("n", "ns"), ("docs", "docs"), ("keys", "keys")))), "join-packed")
+    x, y = (packed.select("label", *(F.col(c).alias(f"{c}_{s}") for c in packed.columns if c != "label")) for s in "ab")
+    found = x.join(y, "label").where("block_a <= block_b").drop("label").mapInArrow(_linking, "node long, links long")
+    counts = copies.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    result, _ = kept(documents.join(counts, "node", "left").select(key, F.coalesce("n_links", F.lit(0)).alias("n_links")), "join-counts")
+    drop(docs.sparkSession, *paths, at_eligible, *at_labels, at_copies, at_packed)
+    return result
+
+
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):

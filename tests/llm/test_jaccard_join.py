@@ -120,3 +120,22 @@ def test_components_of_a_long_chain(spark):
     labels, _ = J.components(spark.createDataFrame(edges, "a long, b long"))
     got = {r["node"]: r["label"] for r in labels.collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 100, 300: 100}
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_link_counts_equal_brute_force(table, odd, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rows = [*corpus(1), (None, "a b"), (3, None)]
+    sets = [shingles(t) for _, t in rows]
+    want = [(k, sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets))) for i, ((k, _), a) in enumerate(zip(rows, sets))]
+    got = J.link_counts(table([(*r, None, None, None) for r in rows]))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert max(n for _, n in want) > 20
+    assert J.link_counts(table([])).count() == 0 and J.link_counts(odd).count() == odd.count()
+
+
+def test_members_of_sets_beside_other_keys():
+    import numpy as np
+
+    keys = [np.array(k, np.uint64) for k in ([1, 5, 9], [2, 5, 6], [9])]
+    assert J._members(np.concatenate(keys), keys, np.array([2, 5], np.uint64)).tolist() == [[0, 1], [1, 1], [0, 0]]
