@@ -36,8 +36,8 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-IDENT = re.compile(r"""(?ai:client_?id|user_?name|user|login|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}|(?<![A-Z0-9])A[A-Z]IA[A-Z0-9]{12,}""")
-BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])")
+IDENT = re.compile(r"""(?ai:client_?id|user_?name|user|login|account|(?<!secret)(?<!secret[_-])access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}|(?<![A-Z0-9])A[A-Z]IA[A-Z0-9]{12,}""")
+BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?ai:https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]+")
 BREAK = re.compile(r"\n[\x20\x09-\x0D]*\n")
 REACH = 256
