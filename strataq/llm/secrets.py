@@ -2,11 +2,13 @@
 
 Base kinds are reported by their pattern alone.  Three weak kinds (an
 identifier, a bare secret, an endpoint) are too common to report by
-themselves: a weak candidate is reported only if a complementary part starts
-within ``REACH`` characters of it in the same scope.  A scope is a block of
+themselves: a weak candidate is reported only if a complementary part stands
+within ``REACH`` characters of it in the same scope, from the end of the one to
+the start of the other.  A scope is a block of
 lines without an empty line.  An identifier needs a secret, a secret needs an
 identifier or an endpoint, and an endpoint needs a secret; base matches count
-as parts (access as identifier; assign and hex as secrets).
+as parts (access as identifier; assign and hex as secrets).  A bare secret that
+is an identifier's value is not its complement.
 
 The join is by interval: parts are sorted by start and each candidate looks up
 its nearest complementary parts on either side, so that no pairs are listed.
@@ -23,6 +25,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -86,18 +89,24 @@ def linked_spans(text: str, base: list[Span], likely=lambda kind: True) -> list[
 
     weak = [x for x in weak if not inside(x[0], x[2])]
     breaks = [m.start() for m in BREAK.finditer(text)]
-    places: dict[str, list[int]] = {"secret": [], "ident": [], "endpoint": []}
-    for s, k, _ in sorted([*base, *weak]):
-        places[ROLE[KINDS[k]]].append(s)
-
-    def has(role: str, s: int) -> bool:
+    places: dict[str, list[tuple[int, int]]] = {"secret": [], "ident": [], "endpoint": []}
+    for s, k, e in sorted([*base, *weak]):
+        places[ROLE[KINDS[k]]].append((s, e))
+    # of the first k parts, the one that ends last
+    latest = {role: list(accumulate(at, lambda x, y: max(x, y, key=lambda z: z[1]))) for role, at in places.items()}
+
+    def has(role: str, s: int, e: int, apart: bool) -> bool:
+        """Whether a part of the role is near in scope; ``apart``: one that does not overlap."""
         at = places[role]
-        k = bisect_left(at, s)
+        k = bisect_left(at, (s,))
+        while apart and k and at[k - 1][1] > s:
+            k -= 1
+        after = bisect_left(at, (e if apart else s,))
+        near = [x for x in (*latest[role][max(0, k - 1) : k], *at[after : after + 1]) if s - x[1] <= REACH and x[0] - e <= REACH]
         scope = bisect_left(breaks, s)
-        near = [x for x in (*at[max(0, k - 1) : k], *at[k : k + 1]) if abs(x - s) <= REACH]
-        return any(bisect_left(breaks, x) == scope for x in near)
+        return any(bisect_left(breaks, x) == scope for x, _ in near)
 
-    return [x for x in sorted(weak) if any(has(role, x[0]) for role in NEEDS[KINDS[x[1]]])]
+    return [x for x in sorted(weak) if any(has(role, x[0], x[2], role != "endpoint" and KINDS[x[1]] != "endpoint") for role in NEEDS[KINDS[x[1]]])]
 
 
 def joined(spans: list[Span]) -> str:

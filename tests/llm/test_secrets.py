@@ -71,3 +71,16 @@ def test_secrets_of_key_value_pairs():
     assert linked(f"client_id=somebody\nclient_key={BARE}==") == ["ident", "bare"]
     assert linked(f"see https://example.com/x?sig={BARE}&v=1") == ["endpoint", "bare"]
     assert linked(f"SecretAccessKey={BARE}") == []
+
+
+def test_reach_is_from_end_to_start():
+    long = "https://example.com/" + "x." * 300
+    assert linked(f"{long} {BARE}") == ["endpoint", "bare"]
+    assert linked(f"{BARE * 10} {long}") == ["bare", "endpoint"]
+    assert linked(f"{long}{' ' * 257}{BARE}") == []
+    assert linked(f"{long}\n\n{BARE}") == []
+
+
+def test_an_identifiers_own_value_is_not_its_secret():
+    assert linked(f"client_id={BARE}") == []
+    assert linked(f"client_id={BARE}\nkey {BARE}") == ["ident", "bare"]
