@@ -7,12 +7,15 @@ within ``REACH`` characters of it in the same scope, from the end of the one to
 the start of the other.  A scope is a block of
 lines without an empty line.  An identifier needs a secret, a secret needs an
 identifier or an endpoint, and an endpoint needs a secret; base matches count
-as parts (access as identifier; assign and hex as secrets).  A bare secret that
-is an identifier's value is not its complement.
+as parts (access as identifier; assign and hex as secrets).  Parts that overlap
+are not complements, so that one token never plays both: a bare secret that is
+an identifier's value, or a piece of an endpoint.  Only an endpoint with a
+secret as a named value (``?sig=...``) ends before it, and is then one of two.
 
-The join is by interval: parts are sorted by start and each candidate looks up
-its nearest complementary parts on either side, so that no pairs are listed.
-All work is within one text, so rows stay where they are.
+The join is by interval: parts are sorted by start and by end, and each
+candidate looks up the last complementary part that ends before it and the
+first that starts behind it, so that no pairs are listed.  All work is within
+one text, so rows stay where they are.
 
 Defined cases: a null text is an empty text; offsets count code points, end
 exclusive; spans of the same start are ordered by kind; repeated rows are
@@ -23,9 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -87,26 +89,35 @@ def linked_spans(text: str, base: list[Span], likely=lambda kind: True) -> list[
         k = bisect_left(starts, e)
         return k > 0 and furthest[k - 1] > s
 
-    weak = [x for x in weak if not inside(x[0], x[2])]
+    weak = _cut([x for x in weak if not inside(x[0], x[2])], text)
     breaks = [m.start() for m in BREAK.finditer(text)]
-    places: dict[str, list[tuple[int, int]]] = {"secret": [], "ident": [], "endpoint": []}
-    for s, k, e in sorted([*base, *weak]):
-        places[ROLE[KINDS[k]]].append((s, e))
-    # of the first k parts, the one that ends last
-    latest = {role: list(accumulate(at, lambda x, y: max(x, y, key=lambda z: z[1]))) for role, at in places.items()}
-
-    def has(role: str, s: int, e: int, apart: bool) -> bool:
-        """Whether a part of the role is near in scope; ``apart``: one that does not overlap."""
-        at = places[role]
-        k = bisect_left(at, (s,))
-        while apart and k and at[k - 1][1] > s:
-            k -= 1
-        after = bisect_left(at, (e if apart else s,))
-        near = [x for x in (*latest[role][max(0, k - 1) : k], *at[after : after + 1]) if s - x[1] <= REACH and x[0] - e <= REACH]
+    starts_of: dict[str, list[int]] = {"secret": [], "ident": [], "endpoint": []}
+    ends_of: dict[str, list[int]] = {"secret": [], "ident": [], "endpoint": []}
+    for s, k, e in [*base, *weak]:
+        starts_of[ROLE[KINDS[k]]].append(s)
+        ends_of[ROLE[KINDS[k]]].append(e)
+    for at in (*starts_of.values(), *ends_of.values()):
+        at.sort()
+
+    def has(role: str, s: int, e: int) -> bool:
+        """Whether a part of the role is near in scope. No part holds a break, so the nearest on either side decide."""
         scope = bisect_left(breaks, s)
-        return any(bisect_left(breaks, x) == scope for x, _ in near)
-
-    return [x for x in sorted(weak) if any(has(role, x[0], x[2], role != "endpoint" and KINDS[x[1]] != "endpoint") for role in NEEDS[KINDS[x[1]]])]
+        before, after = bisect_right(ends_of[role], s), bisect_left(starts_of[role], e)
+        if before and s - (end := ends_of[role][before - 1]) <= REACH and bisect_left(breaks, end) == scope:
+            return True
+        return after < len(starts_of[role]) and (start := starts_of[role][after]) - e <= REACH and bisect_left(breaks, start) == scope
+
+    return [x for x in sorted(weak) if any(has(role, x[0], x[2]) for role in NEEDS[KINDS[x[1]]])]
+
+
+def _cut(weak: list[Span], text: str) -> list[Span]:
+    """The candidates, endpoints ending before the first bare secret that is a named value in them."""
+    named = sorted(s for s, k, _ in weak if KINDS[k] == "bare" and s and text[s - 1] == "=")
+    out = []
+    for s, k, e in weak:
+        at = bisect_left(named, s)
+        out.append((s, k, named[at]) if KINDS[k] == "endpoint" and at < len(named) and named[at] < e else (s, k, e))
+    return out
 
 
 def joined(spans: list[Span]) -> str:
