@@ -47,7 +47,7 @@ def test_leaks_equal_brute_force():
     want = {}
     for r, t in enumerate(texts):
         for k, (_, item) in enumerate(items):
-            if len(item) >= D.LEAST and (d := distance(item, t or "")) <= D.budget(len(item)):
+            if len(item) >= D.Q and (d := distance(item, t or "")) <= D.budget(len(item)):
                 want[r, k] = d
     assert got == want and 15 < len(want) < 60
 
@@ -87,10 +87,47 @@ def test_blocks_and_stage(spark, table, monkeypatch):
         assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == list(range(0, 20, 2))
 
 
-def test_long_items_are_cut(monkeypatch):
-    monkeypatch.setattr(D, "LONGEST", 100)
-    item = prose(1, 60)
-    assert {D.Items([(1, item)]).ids[k] for _, k, *_ in D.matches(D.Items([(1, item)]), pa.array(["x " + item[:100] + " y"]))} == {1}
+def test_long_items_count_as_a_whole():
+    rng = random.Random(2)
+    item = prose(1, 1500)
+    assert len(item) > 6000
+    texts = ["x " + item[:4100] + " y", "a " + edited(item, 40, rng) + " b", item[200:]]
+    found = D.matches(D.Items([(1, item)]), pa.array(texts))
+    assert [x[0] for x in found] == [1, 2] and found[0][4] <= 40 and found[1][4] <= 200
+
+
+def test_short_items_must_stand_there_unchanged():
+    items = [(1, "what is seven by eight?"), (2, "tiny"), (3, "abcdefgh")]
+    texts = ["ask: What  is seven by eight?", "ask: What\tis seven BY eight? xabcdefghx", "what is seven by eigth?", "tiny"]
+    found = [(r, k, e) for r, k, _, _, e in D.matches(D.Items(items), pa.array(texts))]
+    assert found == [(1, 0, 0), (1, 1, 0)]
+
+
+@pytest.mark.parametrize("pairs", [50, 4_000_000])
+def test_repetitive_texts_equal_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(D, "PAIRS", pairs)
+    rng = random.Random(3)
+    items = [(0, "-" * 60), (1, "ab" * 40), (2, "-" * 30 + prose(1, 6) + "-" * 30), (3, " " * 50), (4, "xyz" * 13 + "w")]
+    texts = ["-" * 59, "-" * 500, "q" + "ab" * 90, "=" * 70 + "-" * 57, edited("-" * 30 + prose(1, 6) + "-" * 30, 3, rng), "\t" * 49 + "x", "xyz" * 40, "-" * 20]
+    got = {(r, k): e for r, k, _, _, e in D.matches(D.Items(items), pa.array(texts))}
+    want = {(r, k): d for r, t in enumerate(texts) for k, (_, i) in enumerate(items) if (d := distance(i, t.replace("\t", " "))) <= D.budget(len(i))}
+    assert got == want and len(want) > 6
+
+
+def test_a_long_run_against_a_run_takes_little_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = D.matches(D.Items([(1, "-" * 4096)]), pa.array(["-" * 1_000_000, "=" * 100]))
+    assert [x[0] for x in found] == [0] and found[0][2:] == (0, 4096, 0)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB
+
+
+def test_text_identifiers_and_clashing_columns(spark, table):
+    benchmark = table([("a", prose(1, 30)), (None, prose(2, 30))], "item_id string, text string", "benchmark")
+    docs = table([(1, "x " + prose(1, 30), None, None, None, 5), (2, prose(2, 30), None, None, None, 6)], "doc_id long, text string, lang string, source string, n_chars long, item_id long")
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, benchmark).collect()) == [(1, "a"), (2, None)]
+    assert D.drop_leaked(docs, benchmark).columns == docs.columns
 
 
 def test_odd_rows_and_empty_tables(odd, table):
