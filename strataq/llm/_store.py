@@ -1,7 +1,7 @@
 """Files and tables in the folder that driver and executors share.
 
 The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is set
-only where that is unset, as on a single machine.  Files appear under their
+only where that is unset and the master is local.  Files appear under their
 final name only when complete, so that a lost or repeated task does no harm.
 """
 
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strataq-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -31,11 +33,23 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def kept(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """``df`` written as a table in the shared folder and read again (this cuts its lineage), and its folder."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(df: DataFrame, what: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read again (this cuts its lineage), and its folder.
+
+    The write's own shuffle files go as soon as it is done, as nothing reads them again. With ``by`` each value of that
+    column has a folder of its own, ``by=value``, which may be dropped alone."""
     spark = df.sparkSession
     path = new_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
