@@ -31,3 +31,7 @@ class EmptyKeyError(StoreError, ValueError):
 
 class EmptyValueError(StoreError, ValueError):
     pass
+
+
+class NoOrderError(StoreError, ValueError):
+    pass

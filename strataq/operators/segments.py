@@ -30,11 +30,11 @@ def live_by_segment(segments: DataFrame) -> DataFrame:
     return metadata(segments).agg(F.sum("records").alias("live_sum"))
 
 
-def merge_oldest(segments: DataFrame, count: int = 2) -> DataFrame:
-    """The ``count`` oldest segments as one, which takes the newest of their ids; others are untouched.
+def merge_oldest(segments: DataFrame, ids: list[int]) -> DataFrame:
+    """The segments ``ids``, the oldest ones in ascending order, as one, which takes the last of their ids; others are untouched.
 
-    The oldest segment takes part, so nothing older can be uncovered and removals go."""
-    ids = [r["segment_id"] for r in segments.select("segment_id").distinct().orderBy("segment_id").limit(count).collect()]
+    The oldest segment takes part, so nothing older can be uncovered and removals go. Which segments there are is for a
+    manifest to know; ``segments`` is not read for it."""
     if len(ids) < 2:
         return segments
     old = segments.where(F.col("segment_id").isin(ids))
@@ -42,12 +42,38 @@ def merge_oldest(segments: DataFrame, count: int = 2) -> DataFrame:
     return merged.select(*segments.columns).unionByName(segments.where(~F.col("segment_id").isin(ids)))
 
 
+RANGES = 256
+
+
+def _range_of(key: Column, bounds: list[str]) -> Column:
+    """How many of the ascending ``bounds`` are not above the key, by bisection."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(bounds))
+
+
 def sparse_index(segments: DataFrame, every: int) -> DataFrame:
     """Each segment's first key and every ``every``-th after it; and its last key if the last block has more than one.
 
-    Keys are numbered by a window over the segment, of keys alone; it spills, and a flushed segment's size is bounded by an option."""
-    ordered = Window.partitionBy("segment_id").orderBy("key")
-    rows = segments.select("segment_id", "key").withColumn("rn", F.row_number().over(ordered)).withColumn("n", F.count("*").over(Window.partitionBy("segment_id")))
+    Keys are numbered within ``RANGES`` ranges of a segment, each from what the ranges before it hold, so that no task
+    has a whole segment. The ranges' bounds are taken from some keys chosen by their hash, which is the same whenever a
+    task is repeated."""
+    keys = segments.select("segment_id", "key")
+    n = keys.count()
+    some = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (16 * RANGES)))) == 0).select("key").distinct()
+    found = sorted((r["key"] for r in some.collect()), key=str.encode)  # about 16 a range
+    bounds = sorted({found[len(found) * k // RANGES] for k in range(1, RANGES)}, key=str.encode) if len(found) >= RANGES else found
+    placed = keys.withColumn("range", _range_of(F.col("key"), bounds))
+    held = placed.groupBy("segment_id", "range").agg(F.count("*").alias("held"))
+    ranges = Window.partitionBy("segment_id")
+    starts = held.select("segment_id", "range", (F.sum("held").over(ranges.orderBy("range")) - F.col("held")).alias("before"), F.sum("held").over(ranges).alias("n"))
+    rows = placed.withColumn("rn", F.row_number().over(Window.partitionBy("segment_id", "range").orderBy("key")))
+    rows = rows.join(starts, ["segment_id", "range"]).withColumn("rn", F.col("rn") + F.col("before"))
     first = (F.col("rn") - 1) % every == 0
     return rows.where(first | (F.col("rn") == F.col("n"))).select("segment_id", "key", F.col("rn").cast("long").alias("position"))
 

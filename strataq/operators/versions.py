@@ -36,29 +36,30 @@ def live(resolved: DataFrame) -> DataFrame:
     return resolved.where(~F.col("is_deleted"))
 
 
-def current(log: DataFrame) -> DataFrame:
-    """Key and value of every key that exists."""
-    return live(latest(log)).select("key", "value")
+def current(log: DataFrame, resolved: bool = False) -> DataFrame:
+    """Key and value of every key that exists. A ``resolved`` log has each key once, as a single segment does, and needs no shuffle."""
+    return live(log if resolved else latest(log)).select("key", "value")
 
 
-def scan(log: DataFrame, query: KeyQuery = ALL) -> DataFrame:
+def scan(log: DataFrame, query: KeyQuery = ALL, resolved: bool = False) -> DataFrame:
     """Key and value within the query's bounds, ascending, up to its limit."""
-    return query.limited(current(query.bound(log)))
+    return query.limited(current(query.bound(log), resolved))
 
 
-def get(log: DataFrame, key: str) -> DataFrame:
+def get(log: DataFrame, key: str, resolved: bool = False) -> DataFrame:
     """The value of one key; no row if it is missing or removed."""
-    return current(log.where(F.col("key") == key)).select("value")
+    return current(log.where(F.col("key") == key), resolved).select("value")
 
 
-def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
+def multi_get(log: DataFrame, keys: DataFrame, resolved: bool = False) -> DataFrame:
     """Key and value of those of ``keys`` that exist."""
-    return current(log.join(keys.select("key").distinct(), "key", "left_semi"))
+    return current(log.join(keys.select("key").distinct(), "key", "left_semi"), resolved)
 
 
-def count(log: DataFrame, query: KeyQuery = ALL) -> DataFrame:
+def count(log: DataFrame, query: KeyQuery = ALL, resolved: bool = False) -> DataFrame:
     """One row, cnt: the records that the query gives. Values are not read."""
-    rows = live(latest(query.bound(log.select("key", "is_deleted", "seq")))).select("key")
+    rows = query.bound(log.select("key", "is_deleted", "seq"))
+    rows = live(rows if resolved else latest(rows)).select("key")
     if query.limit < 1 << 31:
         rows = rows.limit(query.limit)
     return rows.agg(F.count("*").alias("cnt"))

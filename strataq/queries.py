@@ -7,15 +7,19 @@ key space.  Values are text here, so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.functions import keys as K
+from strataq.functions.quantiles import exact_quantiles
 from strataq.operators import segments as S
 from strataq.operators import versions as V
 from strataq.plans.query import KeyQuery
+from strataq.sources.files import scratch
+from strataq.store import Store, Table
 
 LOW, HIGH = "00000002", "00000011"
 MISSING = "99999999"
@@ -127,7 +131,7 @@ _MERGED = "old AS (SELECT key, arg_max(value, seq) AS value, arg_max(is_deleted,
 
 @query("kv_merge_two_oldest", SEG_CTE + f", {_MERGED} SELECT 1 AS segment_id, key, value, is_deleted, seq FROM old WHERE NOT is_deleted UNION ALL SELECT segment_id, key, value, is_deleted, seq FROM flushed WHERE segment_id > 1")
 def kv_merge_two_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.merge_oldest(S.flushed(segmented(spark, sf_dir))).select("segment_id", "key", "value", "is_deleted", "seq")
+    return S.merge_oldest(S.flushed(segmented(spark, sf_dir)), [0, 1]).select("segment_id", "key", "value", "is_deleted", "seq")
 
 
 @query("kv_optimize", CTE + "SELECT key, value FROM cur")
@@ -204,11 +208,99 @@ def kv_remove_batch_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kv_op_latency", "SELECT event_type, count(*) AS n, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.99), 6) AS p99, round(max(value), 6) AS top FROM events GROUP BY event_type")
 def kv_op_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and quantiles by kind of operation, as of recorded timings."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    at = lambda p: F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)"), 6)
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.99).alias("p99"), F.round(F.max("value"), 6).alias("top"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
+    found = exact_quantiles(events, "event_type", "value", {"p50": 0.5, "p99": 0.99})
+    return found.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p99", "top")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range scan with a limit over the resolved log."""
     return V.scan(change_log(spark, sf_dir), KeyQuery(LOW, True, None, True, 10))
+
+
+# --- through storage -------------------------------------------------------------------------------
+
+
+def stored(spark: SparkSession, sf_dir: str, engine: str = "lsm", **given: object) -> Table:
+    """The orders in a table of a store of its own, below the session's shared folder: written in one batch, open ones
+    overwritten in another, fulfilled ones removed in a third; some single changes after that; the store opened anew."""
+    path = f"{scratch(spark)}/store-{uuid.uuid4().hex[:12]}"
+    store = Store(spark, path)
+    store.create_database("db")
+    table = store.create_table("db", "orders", engine, given)
+    base = orders_log(spark, sf_dir).withColumn("value", F.col("value").cast("binary"))
+    table.put_batch(base.select("key", "value", "seq"), order="seq")
+    table.put_batch(base.where("o_orderstatus = 'O'").select("key", F.lit("overwritten").cast("binary").alias("value"), "seq"), order="seq")
+    table.remove_batch(base.where("o_orderstatus = 'F'").select("key"))
+    table.put("000000000000", b"single")
+    table.put("999999999999", b"gone")
+    table.remove("999999999999")
+    return table
+
+
+_STORED = f"WITH o AS ({_ORDERS}), cur AS (SELECT key, CASE WHEN o_orderstatus = 'O' THEN 'overwritten' ELSE value END AS value FROM o WHERE o_orderstatus <> 'F' UNION ALL SELECT '000000000000', 'single') "
+_TEXT = "SELECT key, value FROM cur"
+ORDER_LOW, ORDER_HIGH = "000000000500", "000000002000"
+
+
+def _reopened(table: Table) -> Table:
+    """The table as another process finds it."""
+    return Table(table.spark, table.segments.path, table.engine, table.values)
+
+
+def _readable(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.col("value").cast("string").alias("value"))
+
+
+@query("kv_store_scan", _STORED + _TEXT)
+def kv_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three segments and pending changes."""
+    return _readable(stored(spark, sf_dir).scan())
+
+
+@query("kv_store_recovered", _STORED + _TEXT)
+def kv_store_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abandoned without a flush and opened again: the log has what was pending."""
+    return _readable(_reopened(stored(spark, sf_dir)).scan())
+
+
+@query("kv_store_merged", _STORED + _TEXT)
+def kv_store_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest two segments merged, a checkpoint, and opened again."""
+    table = stored(spark, sf_dir)
+    table.merge()
+    table.checkpoint(retain=0)
+    return _readable(_reopened(table).scan())
+
+
+@query("kv_store_bplus", _STORED + _TEXT)
+def kv_store_bplus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other engine, flushed."""
+    table = stored(spark, sf_dir, "bplus")
+    table.flush()
+    return _readable(table.scan())
+
+
+@query("kv_store_range", _STORED + _TEXT + f" WHERE key > '{ORDER_LOW}' AND key <= '{ORDER_HIGH}'")
+def kv_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key bounds on segments."""
+    return _readable(stored(spark, sf_dir).scan(KeyQuery(ORDER_LOW, False, ORDER_HIGH, True)))
+
+
+@query("kv_store_lookup", _STORED + _TEXT + " WHERE key IN (SELECT lpad(CAST(o_custkey AS VARCHAR), 12, '0') FROM orders) OR key IN ('000000000000', '999999999999')")
+def kv_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batched lookups in a compacted table, of keys that exist, are removed, or never were."""
+    table = stored(spark, sf_dir)
+    table.flush()
+    table.optimize()
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lpad(F.col("o_custkey").cast("string"), 12, "0").alias("key"))
+    return _readable(table.multi_get(asked.unionAll(spark.createDataFrame([("000000000000",), ("999999999999",)], "key string"))))
+
+
+@query("kv_store_statistics", _STORED + "SELECT 3 AS segments, 2 AS in_memory_with_deleted, 1 AS in_memory_deleted, (SELECT count(*) FROM o) + (SELECT count(*) FROM o WHERE o_orderstatus IN ('O', 'F')) AS records_with_deleted, (SELECT count(*) FROM o WHERE o_orderstatus = 'F') AS deleted_records, (SELECT count(*) FROM cur) AS cnt")
+def kv_store_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's statistics and count."""
+    table = stored(spark, sf_dir)
+    found = table.statistics()
+    names = ("segments", "in_memory_with_deleted", "in_memory_deleted", "records_with_deleted", "deleted_records")
+    return spark.createDataFrame([(*(int(found[n]) for n in names), table.count())], ", ".join(f"{n} long" for n in (*names, "cnt")))

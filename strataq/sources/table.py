@@ -3,32 +3,50 @@
 Segments are Parquet folders, range-partitioned and sorted by key, with Bloom
 filters on it, so that key bounds and lookups skip row groups.  A manifest
 lists the live segments; manifests are numbered and never changed, and a new
-one appears by a rename, so a reader keeps the state it began with.  The commit
-log holds the changes that are not yet in a segment; what a manifest's
-``logged`` number covers is in its segments, so the log's tail is replayed on
-top whenever a table is opened, however it was closed.
+one appears by a rename, so a reader keeps the state it began with.
+
+A segment is written in a folder of its own and takes its number only when it
+is committed.  If another writer committed meanwhile, the newest manifest is
+read again and the commit repeated on top of it: sequence numbers are kept
+relative in the files, and the manifest has each segment's offset, so the
+later commit stays the later one without a rewrite.
+
+The commit log has a file for each stretch between two flushes, with a line a
+change.  A manifest lists the log files that its segments cover; all others are
+replayed on top whenever a table is opened, however it was closed.  The end of
+a line that a crash cut off is not a change.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from base64 import b64encode
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataq.operators.versions import LOG, latest, live, merged
-from strataq.sources.files import Files
+from strataq.operators.versions import LOG, live, merged
+from strataq.sources.files import Appender, Files
+
+RETAIN = 600.0  # seconds that files stay for readers of an older state
+TRIES = 20
 
 
 @dataclass
 class Manifest:
-    """Live segments in ascending order as (id, version), the next sequence number, and the last log batch they hold."""
+    """Live segments in ascending order as [id, version, offset of seq], the next sequence number, the log files they cover, and retired segments as [name, time]."""
 
     number: int = 0
     segments: list[list[int]] = field(default_factory=list)
     next_seq: int = 0
-    logged: int = 0
+    covered: list[str] = field(default_factory=list)
+    retired: list[list] = field(default_factory=list)
 
 
 class SegmentTable:
@@ -37,101 +55,189 @@ class SegmentTable:
     def __init__(self, spark: SparkSession, path: str, options: dict[str, dict[str, object]]) -> None:
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
         self.options = options["engine"] | options["table"]
-        self.manifest = self._newest()
+        self.appender: Appender | None = None
+        self.manifest = Manifest()
+        self.refresh()
 
     # --- manifests and paths ---
 
-    def _newest(self) -> Manifest:
+    def refresh(self) -> Manifest:
+        """Reads the newest manifest, if it is newer."""
         names = [n for n in self.files.names(f"{self.path}/manifest") if n.endswith(".json")]
-        return Manifest(**json.loads(self.files.read(f"{self.path}/manifest/{names[-1]}"))) if names else Manifest()
-
-    def _commit(self, **changes: object) -> None:
-        new = Manifest(**(asdict(self.manifest) | changes | {"number": self.manifest.number + 1}))
-        self.files.write_new(f"{self.path}/manifest/{new.number:012d}.json", json.dumps(asdict(new)))
-        self.manifest = new
+        if names and int(names[-1].removesuffix(".json")) > self.manifest.number:
+            self.manifest = Manifest(**json.loads(self.files.read(f"{self.path}/manifest/{names[-1]}")))
+        return self.manifest
+
+    def _commit(self, change) -> Manifest:
+        """Makes ``change(newest manifest)``, a dictionary of what differs, the next manifest; on a conflict once more, on top of what was committed."""
+        for _ in range(TRIES):
+            newest = self.refresh()
+            new = Manifest(**(asdict(newest) | change(newest) | {"number": newest.number + 1}))
+            try:
+                self.files.write_new(f"{self.path}/manifest/{new.number:012d}.json", json.dumps(asdict(new)))
+            except FileExistsError:
+                time.sleep(0.01)
+                continue
+            self.manifest = new
+            return new
+        raise TimeoutError(f"{self.path}: {TRIES} commits in a row met another writer's")
 
     def segment_path(self, segment: int, version: int) -> str:
         return f"{self.path}/data/{segment}v{version}"
 
     def segment_names(self) -> list[str]:
         """The live segments' names, oldest first."""
-        return [f"{s}v{v}" for s, v in self.manifest.segments]
+        return [f"{s}v{v}" for s, v, _ in self.manifest.segments]
 
     # --- commit log ---
 
-    def log_changes(self, changes: DataFrame) -> int:
-        """Appends a batch (with seq) to the commit log; gives its number."""
-        batches = [int(n.removeprefix("batch=")) for n in self.files.names(f"{self.path}/commit_log") if n.startswith("batch=")]
-        batch = max([self.manifest.logged, *batches]) + 1
-        parts = int(self.options["KV_TABLE_COMMIT_LOG_PARALLELISM"])
-        changes.coalesce(parts).write.parquet(f"{self.path}/commit_log/batch={batch:012d}")
-        return batch
-
-    def log_tail(self) -> tuple[DataFrame | None, int]:
-        """The logged changes that no segment holds, and the last batch's number. Unfinished batches are not part of it."""
-        names = [n for n in self.files.names(f"{self.path}/commit_log") if n.startswith("batch=")]
-        new = [n for n in names if int(n.removeprefix("batch=")) > self.manifest.logged and self.files.exists(f"{self.path}/commit_log/{n}/_SUCCESS")]
+    def append(self, changes: list[tuple[str, bytes]], seq: int) -> None:
+        """Appends changes to the commit log; they are there when this returns."""
+        if self.appender is None:
+            self.appender = Appender(self.files, f"{self.path}/commit_log/{seq:015d}-{uuid.uuid4().hex[:8]}.jsonl")
+        lines = (json.dumps({"key": k, "value": b64encode(v).decode(), "seq": seq + i}) for i, (k, v) in enumerate(changes))
+        self.appender.write("".join(f"{x}\n" for x in lines).encode())
+
+    def rotate(self) -> list[str]:
+        """Ends the current log file; its name, if there is one."""
+        if self.appender is None:
+            return []
+        self.appender.close()
+        name, self.appender = self.appender.path.rsplit("/", 1)[1], None
+        return [name]
+
+    def log_tail(self) -> tuple[DataFrame | None, list[str]]:
+        """The logged changes that no segment holds, and their files' names. Lines that are cut off are not part of it."""
+        new = [n for n in self.files.names(f"{self.path}/commit_log") if n.endswith(".jsonl") and n not in self.manifest.covered]
         if not new:
-            return None, self.manifest.logged
-        return self.spark.read.schema(LOG).parquet(*(f"{self.path}/commit_log/{n}" for n in new)), int(new[-1].removeprefix("batch="))
+            return None, []
+        lines = self.spark.read.schema("key string, value string, seq long").json([f"{self.path}/commit_log/{n}" for n in new]).where("key is not null and value is not null and seq is not null")
+        return lines.select("key", F.unbase64("value").alias("value"), (F.length("value") == 0).alias("is_deleted"), "seq"), new
 
     # --- segments ---
 
-    def write_segment(self, changes: DataFrame, segment: int, version: int, drop_removed: bool = False) -> None:
-        """Resolves ``changes`` and writes them sorted by key, removals included unless told otherwise."""
-        rows = latest(changes.select(*LOG.names))
+    def write_segment(self, changes: DataFrame, drop_removed: bool = False) -> str:
+        """Resolves ``changes`` and writes them sorted by key, removals included unless told otherwise; gives the folder.
+
+        One shuffle by ranges of keys and one sort serve the resolution and the order alike."""
+        rows = changes.select(*LOG.names).repartitionByRange("key")
+        last = Window.partitionBy("key").orderBy(F.desc("seq"))
+        rows = rows.withColumn("__rank", F.row_number().over(last)).where("__rank = 1").drop("__rank")
         rows = live(rows) if drop_removed else rows
         rate = float(self.options.get("LSM_BLOOM_FILTER_FALSE_POSITIVE_RATE", 0.01))
-        writer = rows.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite")
-        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(rate)).parquet(self.segment_path(segment, version))
-
-    def read_segments(self, segments: list[list[int]] | None = None) -> DataFrame:
-        """Rows of the live (or given) segments, with segment_id."""
-        segments = self.manifest.segments if segments is None else segments
+        path = f"{self.path}/data/_new-{uuid.uuid4().hex}"
+        writer = rows.sortWithinPartitions("key").write
+        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(rate)).parquet(path)
+        return path
+
+    @contextmanager
+    def staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """``rows``, written to a folder of the table that stays as long as it is in use."""
+        path = f"{self.path}/data/_new-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(path)
+            yield self.spark.read.schema(rows.schema).parquet(path)
+        finally:
+            self.files.remove(path)
+
+    def _place(self, written: str, segment: int, version: int) -> int:
+        """Gives a written folder its name; the version, raised past folders of lost commits."""
+        while not self.files.rename_new(written, self.segment_path(segment, version)):
+            version += 1
+        return version
+
+    def read(self, segments: list[list[int]]) -> DataFrame:
+        """Changes of the segments, by one scan for each offset (there is one, unless writers met)."""
+        paths = defaultdict(list)
+        for segment, version, offset in segments:
+            paths[offset].append(self.segment_path(segment, version))
+        scans = [self.spark.read.schema(LOG).parquet(*at).withColumn("seq", F.col("seq") + offset) if offset else self.spark.read.schema(LOG).parquet(*at) for offset, at in paths.items()]
+        return merged(*scans) if scans else self.spark.createDataFrame([], LOG)
+
+    def read_segments(self) -> DataFrame:
+        """Changes of the live segments with segment_id."""
+        segments = self.manifest.segments
         if not segments:
             return self.spark.createDataFrame([], LOG).withColumn("segment_id", F.lit(0))
-        return merged(*(self.spark.read.schema(LOG).parquet(self.segment_path(s, v)).withColumn("segment_id", F.lit(s)) for s, v in segments))
+        rows = self.spark.read.schema(LOG).parquet(*(self.segment_path(s, v) for s, v, _ in segments))
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(\d+)v\d+/[^/]*$", 1).cast("int")
+        return rows.select(*LOG.names, name.alias("segment_id"))
 
     def log(self, pending: DataFrame | None = None) -> DataFrame:
         """All changes: segments and what is not yet in one."""
-        rows = self.read_segments().select(*LOG.names)
+        rows = self.read(self.manifest.segments)
         return rows if pending is None else merged(rows, pending.select(*LOG.names))
 
-    def flush(self, pending: DataFrame, next_seq: int, logged: int) -> None:
-        """Writes pending changes as the newest segment; merges if the options ask for it."""
-        segment = max((s for s, _ in self.manifest.segments), default=0) + 1
-        self.write_segment(pending, segment, 1)
-        self._commit(segments=[*self.manifest.segments, [segment, 1]], next_seq=next_seq, logged=logged)
+    def flush(self, changes: DataFrame, first_seq: int, n: int, covered: list[str]) -> int:
+        """Writes changes with sequence numbers from ``first_seq`` on (at most ``n``) as the newest segment; gives its offset. Merges if the options ask for it."""
+        written = self.write_segment(changes)
+        placed: list[int] = []
+
+        def change(newest: Manifest) -> dict:
+            offset = max(0, newest.next_seq - first_seq)
+            segment = max((s for s, *_ in newest.segments), default=0) + 1
+            if placed and placed[0] != segment:  # another writer took the number
+                self.files.rename_new(self.segment_path(placed[0], placed[1]), written)
+                placed.clear()
+            if not placed:
+                placed.extend((segment, self._place(written, segment, 1)))
+            placed[2:] = [offset]
+            return {"segments": [*newest.segments, list(placed)], "next_seq": first_seq + offset + n, "covered": [*newest.covered, *covered]}
+
+        self._commit(change)
         if self.options.get("ENABLE_MERGE_IF_MAX_SSTABLES") and len(self.manifest.segments) > int(self.options["LSM_MAX_SSTABLES"]):
             self.merge_oldest(2)
+        return placed[2]
 
     def merge_oldest(self, count: int) -> None:
-        """The ``count`` oldest segments as one with the newest of their ids; removals go, as nothing older is left."""
-        old = self.manifest.segments[:count]
+        """The ``count`` oldest segments as one with the newest of their ids; removals go, as nothing older is left.
+
+        If another writer merged them first, its result stays."""
+        old = self.refresh().segments[:count]
         if len(old) < 2:
             return
-        segment, version = old[-1][0], old[-1][1] + 1
-        self.write_segment(self.read_segments(old), segment, version, drop_removed=True)
-        self._commit(segments=[[segment, version], *self.manifest.segments[count:]])
+        written = self.write_segment(self.read(old), drop_removed=True)
+        segment, version = old[-1][0], self._place(written, old[-1][0], old[-1][1] + 1)
+
+        def change(newest: Manifest) -> dict:
+            if newest.segments[: len(old)] != old:
+                raise _Superseded
+            gone = [[f"{s}v{v}", time.time()] for s, v, _ in old]
+            return {"segments": [[segment, version, 0], *newest.segments[len(old) :]], "retired": [*newest.retired, *gone]}
+
+        try:
+            self._commit(change)
+        except _Superseded:
+            self.files.remove(self.segment_path(segment, version))
 
     def optimize(self) -> None:
         """All segments as one, if there are several."""
-        self.merge_oldest(len(self.manifest.segments))
+        self.merge_oldest(len(self.refresh().segments))
 
     # --- checkpoints ---
 
-    def checkpoint(self) -> None:
-        """Drops what no reader of the newest manifest needs: its log, older manifests and merged segments."""
+    def checkpoint(self, retain: float = RETAIN) -> None:
+        """Drops the log files that segments cover; and older manifests, merged segments and remains of lost commits, as soon as they are out of use for ``retain`` seconds."""
+        now, newest = time.time(), self.refresh()
+        covered = set(newest.covered)
         for name in self.files.names(f"{self.path}/commit_log"):
-            if name.startswith("batch=") and int(name.removeprefix("batch=")) <= self.manifest.logged:
+            if name in covered:
                 self.files.remove(f"{self.path}/commit_log/{name}")
         names = [n for n in self.files.names(f"{self.path}/manifest") if n.endswith(".json")]
         for name in names[:-1]:
-            self.files.remove(f"{self.path}/manifest/{name}")
-        alive = set(self.segment_names())
+            if now - self.files.modified(f"{self.path}/manifest/{name}") >= retain:
+                self.files.remove(f"{self.path}/manifest/{name}")
+        retired = dict(map(tuple, newest.retired))
+        alive = {f"{s}v{v}" for s, v, _ in newest.segments}
         for name in self.files.names(f"{self.path}/data"):
-            if name not in alive:
+            if name not in alive and now - retired.get(name, self.files.modified(f"{self.path}/data/{name}")) >= retain:
                 self.files.remove(f"{self.path}/data/{name}")
+        left = set(self.files.names(f"{self.path}/data"))
+        self._commit(lambda m: {"covered": [n for n in m.covered if n not in covered], "retired": [x for x in m.retired if x[0] in left]})
 
     def bytes_on_disk(self) -> int:
-        return sum(self.files.size(self.segment_path(s, v)) for s, v in self.manifest.segments)
+        return sum(self.files.size(self.segment_path(s, v)) for s, v, _ in self.manifest.segments)
+
+
+class _Superseded(Exception):
+    """Another writer has merged the same segments."""
