@@ -41,21 +41,29 @@ def noop(df) -> None:
 
 
 def bulk(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], dict[str, int]]:
-    """Batch put, full scan, batched lookups and compaction over lineitem, with keys of 20 and values of 500 bytes."""
+    """Batch put, full scan, batched lookups and compaction over lineitem, with keys of 20 and distinct values of 500 bytes, for both engines."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    keyed = items.select(F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("key"), F.repeat(F.lit("abcdefghij"), 50).cast("binary").alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    key = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"))
+    value = F.concat(*(F.sha2(F.concat(key, F.lit(str(k)), F.col("l_linenumber").cast("string")), 512) for k in range(4)))
+    source = tempfile.mkdtemp(prefix="strataq-bench-")
+    items.select(key.alias("key"), F.substring(value, 1, 500).cast("binary").alias("value"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at")).write.mode("overwrite").parquet(source)
+    keyed = spark.read.parquet(source)  # making the values is no part of a put
     n = keyed.count()
     path = tempfile.mkdtemp(prefix="strataq-bench-")
     out, rate = {}, {}
+
+    def once(name: str, work, records: int) -> None:
+        start = time.perf_counter()
+        work()
+        out[name] = round(time.perf_counter() - start, 4)
+        rate[name] = round(records / out[name])
+
     try:
         store = Store(spark, path)
         store.create_database("bench")
         table = store.create_table("bench", "items")
-        for name, work in (("bulk_put", lambda: table.put_batch(keyed, "at")), ("bulk_put_again", lambda: table.put_batch(keyed, "at"))):
-            start = time.perf_counter()
-            work()
-            out[name] = round(time.perf_counter() - start, 4)
-            rate[name] = round(n / out[name])
+        once("bulk_put", lambda: table.put_batch(keyed, "at"), n)
+        once("bulk_put_again", lambda: table.put_batch(keyed, "at"), n)
         some = keyed.where(F.pmod(F.xxhash64("key"), F.lit(100)) < 20).select("key").distinct()
         asked = some.count()
         for phase in ("two_segments", "compacted"):
@@ -65,12 +73,19 @@ def bulk(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], dict[str,
             rate[f"multi_get_{phase}"] = round(asked / out[f"multi_get_{phase}"])
             out[f"range_{phase}"] = timed(lambda: noop(table.scan(KeyQuery("000000001000", True, "000000002000", True))))
             if phase == "two_segments":
-                start = time.perf_counter()
-                table.optimize()
-                out["compaction"] = round(time.perf_counter() - start, 4)
-                rate["compaction"] = round(2 * n / out["compaction"])
+                once("compaction", table.optimize, 2 * n)
+        tree = store.create_table("bench", "tree", "bplus")
+        once("bplus_put", lambda: tree.put_batch(keyed, "at"), n)
+        out["bplus_multi_get"] = timed(lambda: noop(tree.multi_get(some)))
+        rate["bplus_multi_get"] = round(asked / out["bplus_multi_get"])
+        every = keyed.select("key")
+        out["bplus_multi_get_all"] = timed(lambda: noop(tree.multi_get(every)))
+        rate["bplus_multi_get_all"] = round(n / out["bplus_multi_get_all"])
+        singles = [(f"single{i:08d}", b"v" * 500) for i in range(20_000)]
+        once("single_puts_logged", lambda: [tree.put(k, v) for k, v in singles], len(singles))
     finally:
         shutil.rmtree(path, ignore_errors=True)
+        shutil.rmtree(source, ignore_errors=True)
     return out, rate
 
 
