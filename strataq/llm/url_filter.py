@@ -1,26 +1,29 @@
 """URL verdicts from rules and, where none fits, from segmented names.
 
 Concatenated names in hosts and paths are split into words by the Viterbi
-algorithm over a unigram model, whose counts cover the words of all pages; the
-words are then scored by multinomial naive Bayes.  The pages that a rule
-decides are the classifier's training set, all of them, so it carries the
-rules over to hosts that no rule names.
-
-Both models have a size that does not grow with the pages: the unigram model
-keeps the ``VOCABULARY`` most frequent words, and the classifier's tokens are
-those words, numbers by length and unknown pieces by length (up to
-``LONGEST``).  Only these two tables reach the driver.
+algorithm over a unigram model, whose counts cover all words of the visible
+text of all pages; the words are then scored by multinomial naive Bayes.  The
+pages that a rule decides are the classifier's training set, all of them, so it
+carries the rules over to hosts that no rule names.
+
+No vocabulary is cut and none is sent to tasks: of the model's words a name
+needs only those that stand in it, so the substrings of all distinct names are
+joined with the counts, and each distinct name is split by itself.  Tokens,
+their odds and names are joined likewise; what reaches the driver is a few
+sums.  Words and pieces are of letters of any script; a word has ``LONGEST``
+letters at most, which is part of the model.  Markup, its attributes, scripts
+and styles are not visible text.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule and no tokens, and gets the verdict of the class shares; with no page
 decided by a rule the verdict is "allow", as on ties; repeated rows are judged
-one by one; an empty table gives an empty result.
+one by one; a name of any length is split whole, in time by its length; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -37,11 +40,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-VOCABULARY = 50_000
-LONGEST = 24
+LONGEST = 64
 SMOOTHING = 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PIECES = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
 def host_of(url: Column) -> Column:
@@ -63,37 +64,42 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
-def unigrams(texts: DataFrame, column: str, size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of a-z in all rows: as many as ``size`` allows without parting words of about the same count."""
-    words = texts.select(F.explode(F.split(F.lower(F.col(column)), "[^a-z]+")).alias("w")).where((F.length("w") > 0) & (F.length("w") <= LONGEST))
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor(F.log2("n") * 16)).cast("long")
-    counts, at = kept(words.groupBy("w").agg(F.count("*").alias("n")).withColumn("level", level), "unigrams")
-    left, least = size, None
-    for r in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # two thousand levels at most
-        left -= r["words"]
-        if left < 0:
-            break
-        least = r["level"]
-    top = {r["w"]: r["n"] for r in counts.where(F.col("level") >= least).collect()} if least is not None else {}  # ``size`` at most
-    drop(texts.sparkSession, at)
-    return top
+def visible(html: Column) -> Column:
+    """The text without tags, scripts and styles."""
+    chunks = F.split(html, "(?i)<(?=(?:script|style)\\b)")
+
+    def rest(c: Column, i: Column) -> Column:
+        low = F.lower(c)
+        end = F.when(low.startswith("script"), F.locate("</script", low)).otherwise(F.locate("</style", low))
+        return F.when(i == 0, c).when(end > 0, F.substr(c, end)).otherwise("")
+
+    return F.regexp_replace(F.array_join(F.transform(chunks, rest), " "), "<[^<>]*>", " ")
+
+
+def unigrams(texts: DataFrame, column: str) -> DataFrame:
+    """w and n: the counts of all words in all rows."""
+    words = texts.select(F.explode(F.split(F.lower(visible(F.col(column))), "[^\\p{L}]+")).alias("w")).where((F.length("w") > 0) & (F.length("w") <= LONGEST))
+    return words.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def pieces(host: Column, path: Column) -> Column:
+    """The runs of letters and of digits in order, lower-cased; digits as ``#`` and their number."""
+    found = F.regexp_extract_all(F.lower(F.concat_ws(" ", host, path)), F.lit("([0-9]+|\\p{L}+)"), F.lit(1))
+    return F.transform(found, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("#"), F.least(F.length(x), F.lit(LONGEST)).cast("string"))).otherwise(x))
 
 
 class Segmenter:
     """Splits a name into the likeliest sequence of words; of equally likely ones, that whose last words are longest."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = math.log(max(1, sum(counts.values())))
-        self.cost = {w: total - math.log(n) for w, n in counts.items()}
-        self.unknown = [total + k * math.log(10) - math.log(10) for k in range(LONGEST + 1)]
-        self.seen: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        whole = math.log(max(1, sum(counts.values()) if total is None else total))
+        self.cost = {w: whole - math.log(n) for w, n in counts.items()}
+        self.unknown = [whole + k * math.log(10) - math.log(10) for k in range(LONGEST + 1)]
 
     def price(self, word: str) -> float:
         return self.cost.get(word, self.unknown[len(word)])
 
     def __call__(self, name: str) -> list[str]:
-        if (known := self.seen.get(name)) is not None:
-            return known
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             costs = [(best[at] + self.price(name[at:end]), at) for at in range(max(0, end - LONGEST), end)]
@@ -105,76 +111,67 @@ class Segmenter:
             out.append(name[back[end] : end])
             end = back[end]
         out.reverse()
-        if len(self.seen) < 200_000:
-            self.seen[name] = out
         return out
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """The words of host and path; numbers and unknown pieces stand by their lengths."""
-        out = []
-        for piece in _PIECES.findall(f"{host} {path}".lower()):
-            if piece[0].isdigit():
-                out.append(f"#{min(len(piece), LONGEST)}")
-            else:
-                out += (w if w in self.cost else f"?{len(w)}" for w in self(piece))
-        return out
+    def tokens(self, name: str) -> list[str]:
+        """The words of a name; unknown pieces stand by their lengths."""
+        return [w if w in self.cost else f"?{len(w)}" for w in self(name)]
 
 
-def _counting(counts: dict[str, int]):
+def _splitting(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(counts)
         for batch in batches:
-            seen: dict[tuple[str, str], int] = {}
-            for host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict"))):
-                for token in segment.tokens(host, path):
-                    seen[verdict, token] = seen.get((verdict, token), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["verdict", "token", "n"])
+            tokens = []
+            for name, words in zip(batch.column("name").to_pylist(), batch.column("words").to_pylist()):
+                tokens.append([name] if name[0] == "#" else Segmenter({x["w"]: x["n"] for x in words or ()}, total).tokens(name))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(tokens, pa.list_(pa.string()))], ["name", "tokens"])
 
     return run
 
 
-class Bayes:
-    """Multinomial naive Bayes of two classes; gives the log odds of "block"."""
-
-    def __init__(self, rows: list[tuple[str, str, int]], classes: dict[str, int]) -> None:
-        counts: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-        for verdict, token, n in rows:
-            counts[verdict][token] = n
-        tokens = counts["allow"].keys() | counts["block"].keys()
-        size = {c: sum(x.values()) + SMOOTHING * (len(tokens) + 1) for c, x in counts.items()}
-        odds = lambda t: math.log((counts["block"].get(t, 0) + SMOOTHING) / size["block"]) - math.log((counts["allow"].get(t, 0) + SMOOTHING) / size["allow"])
-        self.odds = {t: odds(t) for t in tokens}
-        self.new = odds("")  # of a token that no training page has
-        self.prior = math.log((classes.get("block", 0) + SMOOTHING) / (classes.get("allow", 0) + SMOOTHING)) if classes else 0.0
+def split_names(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """name and tokens of each distinct name. ``counts`` has w and n."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    starts = F.transform(F.sequence(F.lit(1), F.length("name")), lambda at: F.substr(F.col("name"), at, F.lit(LONGEST)))
+    prefixes = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.substr(x, F.lit(1), n))
+    parts = names.where(~F.col("name").startswith("#")).select("name", F.explode(F.array_distinct(F.flatten(F.transform(starts, prefixes)))).alias("w"))
+    found = parts.join(counts, "w").groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("words"))  # LONGEST times a name's length at most
+    return names.join(found, "name", "left").mapInArrow(_splitting(total), "name string, tokens array<string>")
 
-    def __call__(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, self.new) for t in tokens) if self.odds else self.prior
 
-
-def _judging(counts: dict[str, int], bayes: Bayes, columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(counts)
-        for batch in batches:
-            out = []
-            for host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "verdict"))):
-                out.append(verdict or ("block" if bayes(segment.tokens(host, path)) > 0 else "allow"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "verdict"])
-
-    return run
+def odds_of(tokens: DataFrame) -> tuple[DataFrame, float]:
+    """token and odds (log odds of "block" by multinomial naive Bayes with additive smoothing), and the odds of a token that no page of a rule has. ``tokens`` has verdict, token and n."""
+    of = lambda verdict: F.coalesce(F.sum(F.when(F.col("verdict") == verdict, F.col("n"))), F.lit(0))
+    counted = tokens.groupBy("token").agg(of("allow").alias("allow"), of("block").alias("block"))
+    sums = counted.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("tokens")).first()
+    if not sums["tokens"]:
+        return counted.select("token", F.lit(0.0).alias("odds")), 0.0
+    size = {c: sums[c] + SMOOTHING * (sums["tokens"] + 1) for c in ("allow", "block")}
+    new = math.log(SMOOTHING / size["block"]) - math.log(SMOOTHING / size["allow"])
+    return counted.select("token", (F.log(F.col("block") + SMOOTHING) - F.log(F.col("allow") + SMOOTHING) + F.lit(new)).alias("odds")), new
 
 
-def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules: Sequence[tuple[str, str, str]] = RULES, vocabulary: int = VOCABULARY) -> DataFrame:
+def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """``key``, host, path, rule and verdict of every row; ``text`` is the column whose words the unigram model counts."""
+    spark = pages.sparkSession
     parsed = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     parsed = parsed.select(key, "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
-    counts = unigrams(pages, text, vocabulary)
-    decided = parsed.where("verdict is not null").select("host", "path", "verdict")
-    classes = {r["verdict"]: r["n"] for r in decided.groupBy("verdict").agg(F.count("*").alias("n")).collect()}  # two rows
-    partial = decided.mapInArrow(_counting(counts), "verdict string, token string, n long")
-    rows = [tuple(r) for r in partial.groupBy("verdict", "token").agg(F.sum("n").alias("n")).collect()]  # bounded by the vocabulary
-    columns = [key, "host", "path", "rule"]
-    kind = parsed.schema[key].dataType.simpleString()
-    return parsed.mapInArrow(_judging(counts, Bayes(rows, classes), columns), f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    counts, at_counts = kept(unigrams(pages, text), "url-words")
+    urls, at_urls = kept(parsed.groupBy("host", "path", "verdict").agg(F.count("*").alias("pages")), "url-distinct")
+    classes = {r["verdict"]: r["n"] for r in urls.where("verdict is not null").groupBy("verdict").agg(F.sum("pages").alias("n")).collect()}  # two rows
+    prior = math.log((classes.get("block", 0) + SMOOTHING) / (classes.get("allow", 0) + SMOOTHING)) if classes else 0.0
+    named = urls.select("host", "path", "verdict", "pages", F.explode(pieces(F.col("host"), F.col("path"))).alias("name"))
+    split, at_split = kept(split_names(named.select("name").distinct(), counts), "url-names")
+    trained = named.where("verdict is not null").groupBy("verdict", "name").agg(F.sum("pages").alias("n")).join(split, "name")
+    odds, new = odds_of(trained.select("verdict", F.explode("tokens").alias("token"), "n"))
+    by_name = split.select("name", F.explode("tokens").alias("token")).join(odds, "token", "left").groupBy("name").agg(F.sum(F.coalesce("odds", F.lit(new))).alias("odds"))
+    scored = named.where("verdict is null").join(by_name, "name").groupBy("host", "path").agg(F.sum("odds").alias("odds"))
+    scored, _ = kept(scored, "url-odds")
+    drop(spark, at_counts, at_urls, at_split)
+    decided = parsed.where("verdict is not null")
+    rest = parsed.where("verdict is null").join(scored, ["host", "path"], "left")
+    verdict = F.when(F.round(F.coalesce("odds", F.lit(0.0)) + F.lit(prior), 9) > 0, "block").otherwise("allow")
+    return decided.unionByName(rest.select(key, "host", "path", "rule", verdict.alias("verdict")))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
+import collections
 import itertools
 import math
+import random
 import re
 
 from strataq.llm import url_filter as U
@@ -48,11 +50,82 @@ def test_viterbi_equals_all_splits():
     assert seg("therefore") in (["there", "for", "e"], ["the", "re", "for", "e"])
 
 
-def test_bayes_equals_the_formula():
-    rows = [("allow", "a", 3), ("allow", "b", 1), ("block", "b", 4)]
-    bayes = U.Bayes(rows, {"allow": 2, "block": 1})
-    want = math.log(2 / 3) + math.log((4 + 1) / (4 + 3)) - math.log((1 + 1) / (4 + 3)) + math.log(1 / 7) - math.log(1 / 7)
-    assert math.isclose(bayes(["b", "new"]), want)
+def test_bayes_equals_the_formula(spark):
+    rows = [("allow", "a", 3), ("allow", "b", 1), ("block", "b", 3), ("block", "b", 1)]
+    odds, new = U.odds_of(spark.createDataFrame(rows, "verdict string, token string, n long"))
+    got = {r["token"]: r["odds"] for r in odds.collect()}
+    assert math.isclose(got["b"], math.log((4 + 1) / (4 + 3)) - math.log((1 + 1) / (4 + 3)))
+    assert math.isclose(got["a"], math.log(1 / 7) - math.log(4 / 7)) and new == 0
+    none, new = U.odds_of(spark.createDataFrame([], "verdict string, token string, n long"))
+    assert none.count() == 0 and new == 0
+
+
+def brute(rows):
+    """Verdicts by dictionaries in one place."""
+    words = collections.Counter()
+    for _, _, html in rows:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1", " <", html or "")
+        words.update(re.findall(r"[^\W\d_]+", re.sub(r"<[^<>]*>", " ", text).lower()))
+    seg = U.Segmenter(words)
+
+    def tokens(url):
+        out = []
+        for piece in re.findall(r"[0-9]+|[^\W\d_]+", " ".join(split_url(url)).lower()):
+            out += [f"#{len(piece)}"] if piece.isdigit() else seg.tokens(piece)
+        return out
+
+    counts, pages = {"allow": collections.Counter(), "block": collections.Counter()}, collections.Counter()
+    for _, url, _ in rows:
+        if (verdict := rule_of(*split_url(url))[1]) is not None:
+            counts[verdict].update(tokens(url))
+            pages[verdict] += 1
+    every = set(counts["allow"]) | set(counts["block"])
+    size = {c: sum(x.values()) + len(every) + 1 for c, x in counts.items()}
+    out = {}
+    for key, url, _ in rows:
+        total = math.log((pages["block"] + 1) / (pages["allow"] + 1))
+        for t in tokens(url):
+            total += math.log((counts["block"][t] + 1) / size["block"]) - math.log((counts["allow"][t] + 1) / size["allow"])
+        out[key] = rule_of(*split_url(url))[1] or ("block" if round(total, 9) > 0 else "allow")
+    return out
+
+
+def test_verdicts_equal_brute_force(table):
+    rng = random.Random(6)
+    good, bad = ["news", "blog", "straße", "ñandú", "green"], ["spam", "win", "über", "cash"]
+    rows = []
+    for i in range(400):
+        kind = rng.random() < 0.5
+        name = "".join(rng.choice(good if kind else bad) for _ in range(rng.randrange(1, 4)))
+        top, path = (("org", "/x/") if kind else ("com", "/de/")) if i % 2 else ("net", rng.choice(["/x/", "/de/", "/" + rng.choice(bad) + "/"]))
+        page = f"<a href='/{name}x'>{' '.join(rng.choice(good + bad) for _ in range(9))}</a><script>var {name}=1;</script> <STYLE>p</style>"
+        rows.append((i, f"http://{name}.{top}{path}{rng.randrange(1000)}", page))
+    want = brute(rows)
+    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(table(rows, PAGES, "pages")).collect()}
+    assert got == want and len(set(want[i] for i in range(0, 400, 2))) == 2
+
+
+def test_rules_carry_over_to_pages_held_out(table):
+    rng = random.Random(7)
+    stock = {"allow": ["garden", "music", "school", "river"], "block": ["casino", "pills", "loans", "poker"]}
+    rows, truth = [], {}
+    for i in range(300):
+        verdict = rng.choice(["allow", "block"])
+        name = "".join(rng.sample(stock[verdict], 2))
+        held = i % 3 == 0  # as a rule would have decided it, but on a host that no rule names
+        host = f"{name}.net" if held else f"{name}.{'org' if verdict == 'allow' else 'com'}"
+        path = "/p" if verdict == "allow" or held else "/de/p"
+        rows.append((i, f"https://{host}{path}", " ".join(stock["allow"] + stock["block"])))
+        truth[i] = verdict
+    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(table(rows, PAGES, "pages")).collect()}
+    assert sum(got[i] == truth[i] for i in range(0, 300, 3)) >= 95
+
+
+def test_clashing_columns_and_a_very_long_url(table):
+    long = "x" * 20_000
+    rows = [(1, f"http://a.net/{long}", "some words", "h", "w", 1.0), (2, "http://words.org/", None, None, None, None)]
+    got = U.judge_urls(table(rows, PAGES + ", host string, name string, odds double", "pages")).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2] and {len(r["path"]) for r in got} == {20_001, 1}
 
 
 def test_verdicts_follow_the_rules_pages(table):
@@ -68,7 +141,6 @@ def test_without_rules_pages_and_empty(table):
     assert U.judge_urls(table([], PAGES, "pages")).count() == 0
 
 
-def test_vocabulary_is_bounded_and_exact(table):
-    pages = table([(i, None, "aa bb cc dd " * i + "aa") for i in range(1, 9)], PAGES, "pages")
-    assert U.unigrams(pages, "html", 10) == {"aa": 44, "bb": 36, "cc": 36, "dd": 36}
-    assert U.unigrams(pages, "html", 1) == {"aa": 44}
+def test_all_words_of_visible_text_count(table):
+    pages = table([(i, None, "aa Größe <b class='attr'>dd</b> <script>if (a<b) xx</script><style>yy" if i % 2 else "aa") for i in range(1, 9)] + [(9, None, None)], PAGES, "pages")
+    assert {r["w"]: r["n"] for r in U.unigrams(pages, "html").collect()} == {"aa": 8, "größe": 4, "dd": 4}
