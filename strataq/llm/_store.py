@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable
+from contextvars import ContextVar
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,32 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """Removes the tables that ``kept`` makes inside when it ends, but for those handed to ``keep``, which an outer scope then has."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self.stay = spark, [], []
+
+    def __enter__(self) -> Scope:
+        self.outer = _SCOPE.get()
+        _SCOPE.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPE.set(self.outer)
+        drop(self.spark, *(p for p in self.paths if p not in self.stay))
+        if self.outer is not None:
+            self.outer.paths += self.stay
+
+    def keep(self, table: tuple[DataFrame, str]) -> DataFrame:
+        """The table that ``kept`` gave, which stays."""
+        self.stay.append(table[1])
+        return table[0]
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,6 +70,8 @@ def kept(df: DataFrame, what: str, by: str | None = None) -> tuple[DataFrame, st
     column has a folder of its own, ``by=value``, which may be dropped alone."""
     spark = df.sparkSession
     path = new_dir(spark, what)
+    if (scope := _SCOPE.get()) is not None:
+        scope.paths.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm._store import drop, kept
+from strataq.llm._store import Scope, drop, kept
 from strataq.llm._text import combine, hashed_words, mix, slices
 
 WIDTH, PERCENT = 5, 75
@@ -488,11 +488,15 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, with their own columns, but of each class only one: that of the least ``key``. Rows with empty sets all stay."""
-    documents, by_node, _ = classify(docs, key)
-    doubled, _ = kept(documents.where("node <> 0").groupBy(key, "node").count().where("count > 1").select(F.col("node").alias("__sq_node")).distinct(), "join-doubled")
+    # what a class keeps is a narrow table; all others go
+    with Scope(docs.sparkSession) as scope:
+        documents, by_node, _ = classify(docs, key)
+        doubled = documents.where("node <> 0").groupBy(key, "node").count().where("count > 1").select(F.col("node").alias("__sq_node")).distinct()
+        doubled = scope.keep(kept(doubled, "join-doubled"))
+        keepers = by_node.where("keeper").select(F.col("node").alias("__sq_node"), F.col("least").alias("__sq_least"))
+        keepers = scope.keep(kept(keepers, "join-keepers"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = docs.mapInArrow(_with_node, f"{schema}, __sq_node long")
-    keepers = by_node.where("keeper").select(F.col("node").alias("__sq_node"), F.col("least").alias("__sq_least"))
     rest = rows.join(keepers, (rows["__sq_node"] == keepers["__sq_node"]) & rows[key].eqNullSafe(keepers["__sq_least"]), "left_semi")
     if not doubled.isEmpty():  # rows that repeat identifier and set
         rest = rest.join(doubled, "__sq_node", "left_anti").unionByName(rest.join(doubled, "__sq_node", "left_semi").dropDuplicates([key, "__sq_node"]))

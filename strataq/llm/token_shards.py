@@ -15,14 +15,19 @@ Keys are identifiers as 8 big-endian bytes with the sign bit turned, so bytes
 sort as numbers do; values are ids of 2 bytes if the vocabulary fits, else 4.
 A lookup asks the filter, bisects the index and decodes one block.
 
+An order, if the documents have one (that of rows in the files they are read
+from), is kept in shards of its own: the key is a row's place, file and row, and
+the value its document's key.  So documents can be looked up by identifier and
+read in the order of a mixture.
+
 Documents are dealt by ranges of (identifier, hash of the text) and sorted in
 their partition; each partition streams its shard to the shared folder under a
 name that its number fixes, so a repeated task writes the same file again.
 Only one row a shard reaches the driver, for the shards' starting positions.
 
 Pieces are encoded by the tokenizers library, and a worker remembers up to
-``PIECES`` of them.  A text falls into pieces where the tokenizer's own rules
-never join: at space and 0x09-0x0D, and between a letter and the marks that end
+``PIECES`` of them.  A text falls into pieces where the tokenizer's own rules,
+if they are the known ones, never join (texts are encoded whole otherwise): at space and 0x09-0x0D, and between a letter and the marks that end
 a word.  The tokenizer lower-cases, so pieces are remembered in lower case, but
 for texts with "<|", which may name a special token.
 
@@ -35,6 +40,7 @@ or none; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -227,15 +233,32 @@ class Shard:
 # --- encoding ------------------------------------------------------------------------------------
 
 
+# The rules of the tokenizer for which texts may be encoded by pieces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_pieces(rules: dict) -> bool:
+    """Whether a tokenizer's file has the rules that never join pieces; texts are encoded whole by any other."""
+    special = all(t["content"].startswith("<|") and not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
+    return special and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTING
+
+
 class Encoder:
-    """Ids of whole texts, by pieces."""
+    """Ids of whole texts, by pieces where the tokenizer's rules allow it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.lowers = '"Lowercase"' in self.library.to_str()
+        self.pieces = by_pieces(json.loads(self.library.to_str()))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
@@ -251,7 +274,10 @@ class Encoder:
     def __call__(self, column: pa.Array) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
         column = texts(column)
-        lower = self.lowers and not pc.any(pc.match_substring(column, "<|")).as_py()
+        if not self.pieces:
+            found = self.library.encode_batch_fast(column.to_pylist(), add_special_tokens=False)
+            return [np.array([*x.ids, END_ID], f"<u{self.width}").tobytes() for x in found]
+        lower = not pc.any(pc.match_substring(column, "<|")).as_py()
         words, counts = words_of(column, lower=lower)
         codes, distinct = codes_of(words)
         stems = [w.rstrip(TAIL) for w in distinct]
@@ -333,9 +359,48 @@ def read_shards(spark: SparkSession, shards: list[dict], key: str = "doc_id") ->
     return listed.mapInArrow(_reading(key), f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
-def shard_documents(docs: DataFrame) -> DataFrame:
-    """Writes ``docs`` and gives what the files hold."""
-    return read_shards(docs.sparkSession, write_shards(docs))
+def _ordering(folder: str, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
+        writer = ShardWriter(8)
+
+        def items() -> Iterator[tuple[bytes, bytes]]:
+            for batch in batches:
+                for file, row, identifier in zip(*(batch.column(c).to_pylist() for c in ("file", "row", key))):
+                    yield struct.pack(">QQ", file, row), key_of(identifier)
+
+        uri = f"{folder}/order-{number:06d}.sst"
+        put(uri, writer.chunks(items()))
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([uri]), pa.array([writer.entries], pa.int64())], ["shard", "path", "entries"])
+
+    return run
+
+
+def write_order(docs: DataFrame, folder: str, key: str = "doc_id") -> list[dict]:
+    """Writes the order of rows in their files to shards, and lists them in that order. ``docs`` is read from files whose names begin with part-, a number, and perhaps c and another one."""
+    name = F.col("_metadata.file_name")
+    part = lambda pattern: F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("long"), F.lit(0))
+    file = part("^part-([0-9]+)") * (1 << 20) + part("[.-]c([0-9]+)[.]")
+    rows = docs.select(file.alias("file"), F.col("_metadata.row_index").alias("row"), F.col(key).cast("long").alias(key))
+    dealt = rows.repartitionByRange("file", "row").sortWithinPartitions("file", "row")
+    written = dealt.mapInArrow(_ordering(folder, key), "shard long, path string, entries long").collect()  # a row a shard
+    return [r.asDict() for r in sorted(written, key=lambda r: r["shard"])]
+
+
+def read_order(order: list[dict]) -> Iterator[int | None]:
+    """The identifiers in order."""
+    for part in order:
+        with Shard(part["path"]) as shard:
+            for _, value in shard.scan():
+                yield identifier_of(value)
+
+
+def shard_documents(docs: DataFrame, ordered: bool = False, folder: str | None = None) -> DataFrame:
+    """Writes ``docs`` and gives what the files hold; ``ordered``: with the order of rows in the files they are read from."""
+    folder = folder or new_dir(docs.sparkSession, "token-shards")
+    if ordered:
+        write_order(docs, folder)
+    return read_shards(docs.sparkSession, write_shards(docs, folder))
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm._store import kept, new_dir, opened, put
+from strataq.llm._store import drop, kept, new_dir, opened, put
 
 # Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
@@ -200,10 +200,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, key: str = "page
     folder = folder or new_dir(spark, "warc")
     rows = pages.select(F.col(key).cast("long").alias(key), F.col(url).cast("string").alias(url), F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b"")).alias(payload)).withColumn("sha1", F.sha1(payload))
     several = rows.where(F.octet_length(payload) >= least).groupBy("sha1").agg(F.max(key).alias("largest"), F.count("*").alias("n")).where("n > 1").select("sha1", "largest")
-    several, _ = kept(several, "warc-digests")
+    several, at_several = kept(several, "warc-digests")
     again = F.col("largest").isNotNull() & ~F.col(key).eqNullSafe(F.col("largest"))
     marked = rows.join(several, "sha1", "left").select(key, url, payload, "sha1", F.when(again, F.col("largest")).alias("refers_to"), again.alias("revisit"))
-    return [r.asDict() for r in marked.mapInArrow(_writing(folder, key, url, payload), "path string, records long, bytes long").collect()]  # a row an archive
+    written = marked.mapInArrow(_writing(folder, key, url, payload), "path string, records long, bytes long").collect()  # a row an archive
+    drop(spark, at_several)
+    return [r.asDict() for r in written]
 
 
 FIELDS = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}

@@ -83,10 +83,49 @@ def test_budget(spark, table):
     tokens = lambda df: df.agg(F.sum(M.tokens_of(F.col("text")))).first()[0]
     total = tokens(docs)
     for part in (0.5, 2.0):
-        have = tokens(M.mix_documents(docs, budget=int(total * part), repeats=100.0))
+        have = tokens(M.mix_documents(docs, epochs=part, repeats=100.0))
         assert abs(have - total * part) < 300
 
 
+def test_the_query_bites_on_its_data(spark):
+    """The exponent is below 1, weights are as even as asked, and small sources come again."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sources = docs.groupBy("source").agg(F.sum(M.tokens_of(F.col("text"))).alias("tokens"))
+    total = sources.agg(F.sum("tokens")).first()[0]
+    power, norm = M.exponent(sources, int(1.25 * total), 0.999)
+    assert 0.1 < power < 0.9
+    want = {r["source"]: (r["tokens"] / total) ** power / norm for r in sources.collect()}
+    assert abs(-sum(w * math.log(w) for w in want.values()) / math.log(len(want)) - 0.999) < 1e-6
+    got = M.op4_source_mixture(spark, "/root/testdata/sf0.01").groupBy("source").agg(F.first("weight").alias("w"), F.sum("n_tokens").alias("t"), F.max("epoch").alias("e")).collect()
+    assert max(r["e"] for r in got) >= 1
+    for r in got:
+        assert math.isclose(r["w"], want[r["source"]], abs_tol=1e-8) and 0 <= r["w"] * 1.25 * total - r["t"] < 21_000
+
+
+def test_rows_come_in_the_order_of_the_mixture(spark, table, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 200)
+    docs = table([(i, "w " * (40 + i % 20), "en", "a" if i % 5 == 0 else "b", 1) for i in range(300)])
+    order = ("__sq_progress", "__sq_source", "__sq_epoch", "__sq_hash")
+    want = M.mixed(docs, entropy=1.0, epochs=1.5).orderBy(*order).select("doc_id", "source", "__sq_epoch", "__sq_place").collect()
+    assert [r["doc_id"] for r in M.mix_documents(docs, entropy=1.0, epochs=1.5).collect()] == [r["doc_id"] for r in want]
+    for source in "ab":  # a source's blocks follow each other epoch by epoch
+        mine = [(r["__sq_epoch"], r["__sq_place"]) for r in want if r["source"] == source]
+        assert mine == sorted(mine)
+    half = [r["source"] for r in want[: len(want) // 2]]
+    assert 0.4 < half.count("a") / len(half) < 0.6  # an even mixture from the start
+
+
+def test_intermediate_tables_go(spark, table):
+    from strataq.llm import _store
+
+    docs = table(rows())
+    files = spark._jvm.org.apache.hadoop.fs.Path(_store.shared_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {s.getPath().getName() for s in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(_store.shared_dir(spark)))}
+    before = names()
+    M.mixed(docs)
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"mix-plan", "mix-sizes"}
+
+
 def test_stage_keeps_columns_and_odd_rows(odd, table):
     mixed = M.mix_documents(odd)
     assert mixed.columns == odd.columns

@@ -41,3 +41,34 @@ def test_stages_and_result(spark, sf):
         want.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
+
+
+def test_shards_keep_the_order_of_the_mixture_and_tables_go(spark, sf):
+    from strataq.llm import _store, token_shards
+    from strataq.llm._store import kept
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(_store.shared_dir(spark))
+    names = lambda: {s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in pipeline.STAGES[:3]:
+        docs, _ = kept(stage(spark, docs, sf), "test-stage")
+    from strataq.llm.mixture import mix_documents
+
+    mixed, path = kept(mix_documents(docs), "test-stage")
+    want = [r["doc_id"] for r in mix_documents(docs).collect()]
+    before = names()
+    pipeline.token_output(spark, mixed, sf).collect()
+    (folder,) = {n for n in names() - before if n.startswith("token-shards")}
+    files = sorted(s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(at, folder)))
+    assert list(token_shards.read_order([{"path": f} for f in files if "/order-" in f])) == want != sorted(want)
+    before = names()
+    pipeline.run(spark, sf)
+    assert {n.rsplit("-", 1)[0] for n in names() - before} == {"token-shards", "pipeline-4"}
+
+
+def test_an_empty_table_and_odd_rows(spark, folder, odd):
+    empty = folder(documents=([], SCHEMA), benchmark=([], "item_id long, text string"))
+    assert pipeline.run(spark, empty).count() == 0
+    benchmark = ([(1, None), (1, None)], "item_id long, text string")
+    path = folder(documents=([(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in odd.collect()], SCHEMA), benchmark=benchmark)
+    assert pipeline.run(spark, path).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

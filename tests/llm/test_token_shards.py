@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -83,3 +84,15 @@ def test_odd_rows(spark, odd, table):
     ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert T.shard_documents(table([])).count() == 0
+
+
+def test_texts_are_encoded_whole_under_unknown_rules(tmp_path):
+    rules = json.loads(LIBRARY.to_str())
+    assert T.by_pieces(rules)
+    rules["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "other.json")
+    Tokenizer.from_str(json.dumps(rules)).save(path)
+    library, encode = Tokenizer.from_file(path), T.Encoder(path)
+    assert not encode.pieces
+    texts = [t or "" for t in STRANGE] + ["Some  TEXT with CASE"]
+    assert [np.frombuffer(x, f"<u{encode.width}").tolist() for x in encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids + [T.END_ID] for t in texts]
