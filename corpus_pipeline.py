@@ -9,9 +9,13 @@ tasks, not those of the stages before it.
 2. n-gram Jaccard join: of each class of near-duplicates one document stays,
    that of the least doc_id;
 3. benchmark decontamination: documents that a benchmark item leaks into go;
-4. source mixture: documents come as often as their source's weight asks for;
-5. token shards: the mixture is encoded and written; the rows returned are what
-   the files hold, one for each document of the mixture.
+4. source mixture: documents come as often as their source's weight asks for,
+   in the order of the mixture;
+5. token shards: the mixture is encoded and written, by identifier, with its
+   order beside; the rows returned are what the files hold, one for each
+   document of the mixture.
+
+A stage's own tables go as soon as its result is written; shards stay.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strataq.llm import decontaminate, jaccard_join, mixture, quality, token_shards
-from strataq.llm._store import drop, kept
+from strataq.llm._store import Scope, drop, kept
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +43,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_shards.shard_documents(docs)
+    return token_shards.shard_documents(docs, ordered=True)
 
 
 STAGES = [
@@ -57,7 +61,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
     docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs, at = kept(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        with Scope(spark) as scope:
+            table = kept(stage(spark, docs, sf_dir), f"pipeline-{k}")
+            docs = scope.keep(table)
         drop(spark, *done)  # what only this stage has read
-        done = [at]
+        done = [table[1]]
     return docs
