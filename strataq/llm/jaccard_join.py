@@ -2,7 +2,8 @@
 
 A document's set holds the distinct shingles of ``WIDTH`` words (64-bit
 hashes); two documents link when ``100 * intersection >= PERCENT * union``.
-The join is exact up to hash collisions, and no candidate is dropped.
+The join is exact up to hash collisions, and no candidate is dropped.  A
+shingle's name is 48 bits of its hash and the bucket that other bits deal it to.
 
 1. Equal sets are one node, named by a hash of the set, so copies are neither
    compared nor expanded.  Shingles that are frequent within some batch are
@@ -54,6 +55,7 @@ RARE, HEAVY_IN_BATCH, HEAVY_LEAST = 1000, 16, 64
 HUBS, ROUNDS = 3, 2
 SKETCH = 8  # words of 64 bits
 BLOCK, KEYS_AT_ONCE = 64, 1 << 16
+BUCKET_SHINGLES = 8_000_000
 _LOW, _BYTE = np.uint64((1 << 48) - 1), np.uint64(255)
 _HEAVY_CLASS = 200
 #: Packed rows of the two exchanges.
@@ -108,7 +110,7 @@ def _named(key: str):
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -292,13 +294,15 @@ def link_sets(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFram
 def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str], DataFrame, str]:
     """As ``link_sets``, and the sets that may link, with their folder."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(key, "text")
     named, at_named = kept(texts.mapInArrow(_named(key), f"`{key}` {kind}, node long, n long, shingle long, docs long"), "join-named")
     documents = named.where("node is not null").select(key, "node", "n")
     often = named.where("shingle is not null").groupBy("shingle").agg(F.sum("docs").alias("docs"))
-    least = max(HEAVY_LEAST, documents.count() // RARE)
+    size = documents.agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).first()
+    least = max(HEAVY_LEAST, size["docs"] // RARE)
+    # a task holds a bucket
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["shingles"] or 0) // BUCKET_SHINGLES))
     rows = sorted((r["shingle"] & (1 << 64) - 1, r["docs"]) for r in often.where(F.col("docs") >= least).collect())  # bounded: see the module's text
     heavy = np.array([r[0] for r in rows], np.uint64)
     weight = _HEAVY_CLASS + np.minimum(255 - _HEAVY_CLASS, np.log2([r[1] for r in rows] or [1.0])).astype(np.int64)

@@ -7,8 +7,9 @@ references are sums over all documents of that language which are long enough,
 so they follow the corpus; a corpus of unlike languages is held apart by
 ``lang``.  Guards: a histogram judges only texts with enough words.
 
-Everything is row-local DataFrame functions but for one aggregation to at most
-five rows, which become literals of the second pass.
+Everything is DataFrame functions.  One pass over the texts measures them and
+writes the measures to the shared folder; from these, one aggregation to at most
+five rows makes the references, which are literals of the verdicts.
 
 Defined cases: a null text counts as empty; a null or unlisted ``lang`` is
 judged by characters alone against the sums over all languages; a language of
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.llm._store import kept
+
 # Twenty frequent words of each language.
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split(),
@@ -75,9 +78,27 @@ def _features(docs: DataFrame) -> DataFrame:
     )
 
 
+MEASURES = ("__sq_lang", "__sq_n", "__sq_counts", "__sq_hits", "__sq_word_chars", "__sq_symbols", "__sq_dup_lines", "__sq_repeats")
+
+
+def measured(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (but for the columns ``without``) with ``MEASURES``."""
+    lines = F.filter(F.split("__sq_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    rest = F.col("__sq_rest")
+    seen = (
+        _features(docs)
+        .withColumn("__sq_lines", lines)
+        .withColumn("__sq_word_chars", F.length("__sq_text") - F.col("__sq_counts")[3])
+        .withColumn("__sq_symbols", F.length(rest) - F.length(F.regexp_replace(rest, "[#*$%&|<>]+", "")))
+        .withColumn("__sq_dup_lines", F.size("__sq_lines") - F.size(F.array_distinct("__sq_lines")))
+        .withColumn("__sq_repeats", _repeats(F.col("__sq_words")))
+    )
+    return seen.select(*(c for c in docs.columns if c not in without), *MEASURES)
+
+
 def fit_references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Character-class counts and common-word counts (others last) of each language; ``""`` is all languages."""
-    seen = _features(docs).where(F.col("__sq_n") >= MIN_WORDS)
+    """Character-class counts and common-word counts (others last) of each language; ``""`` is all languages. ``docs`` may be measured."""
+    seen = (docs if "__sq_n" in docs.columns else _features(docs)).where(F.col("__sq_n") >= MIN_WORDS)
     width = max(map(len, COMMON_WORDS.values()))
     sums = [F.sum(F.col("__sq_counts")[k]).alias(f"c{k}") for k in range(len(CLASSES))]
     sums += [F.sum(F.get("__sq_hits", F.lit(k))).alias(f"w{k}") for k in range(width)]
@@ -119,12 +140,11 @@ def _repeats(words: Column) -> Column:
     return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(placed(h)))
 
 
-def judge(docs: DataFrame, references: dict | None = None) -> DataFrame:
-    """``docs`` with the base measures, both distances (null where a guard holds) and ``__sq_kept``."""
-    references = fit_references(docs) if references is None else references
-    lines = F.filter(F.split("__sq_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    seen = _features(docs).withColumn("__sq_lines", lines)
-    n, rest = F.col("__sq_n"), F.col("__sq_rest")
+def judge(docs: DataFrame, references: dict | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (but for the columns ``without``) with the base measures, both distances (null where a guard holds) and ``__sq_kept``."""
+    seen, _ = kept(measured(docs, without), "quality-measures")
+    references = fit_references(seen) if references is None else references
+    n = F.col("__sq_n")
     chars = sum((F.col("__sq_counts")[k] for k in range(len(CLASSES))), F.lit(0))
     none = F.lit(None).cast("double")
     by_chars, by_words = none, none
@@ -135,11 +155,7 @@ def judge(docs: DataFrame, references: dict | None = None) -> DataFrame:
             by_words = F.when(here & (n >= MIN_WORDS_FOR_COMMON), _distance(hits, n, w)).otherwise(by_words)
         by_chars = F.when(here & (n >= MIN_WORDS), _distance(F.col("__sq_counts"), chars, c)).otherwise(by_chars)
     return (
-        seen.withColumn("__sq_word_chars", F.length("__sq_text") - F.col("__sq_counts")[3])
-        .withColumn("__sq_symbols", F.length(rest) - F.length(F.regexp_replace(rest, "[#*$%&|<>]+", "")))
-        .withColumn("__sq_dup_lines", F.size("__sq_lines") - F.size(F.array_distinct("__sq_lines")))
-        .withColumn("__sq_repeats", _repeats(F.col("__sq_words")))
-        .withColumn("__sq_failed", (n < MIN_WORDS) | (F.lit(100) * F.col("__sq_repeats") > F.lit(MAX_REPEAT_PERCENT) * n))
+        seen.withColumn("__sq_failed", (n < MIN_WORDS) | (F.lit(100) * F.col("__sq_repeats") > F.lit(MAX_REPEAT_PERCENT) * n))
         .withColumn("__sq_js_chars", by_chars)
         .withColumn("__sq_js_words", by_words)
         .withColumn("__sq_kept", ~F.col("__sq_failed") & (F.coalesce("__sq_js_chars", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("__sq_js_words", F.lit(0.0)) <= MAX_COMMON_DISTANCE))
@@ -148,15 +164,13 @@ def judge(docs: DataFrame, references: dict | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns."""
-    # the row number keeps the optimizer from pushing the filter down, which would put every measure inside the lambdas that use it
-    judged = judge(docs).withColumn("__sq_row", F.monotonically_increasing_id())
-    return judged.where(F.col("__sq_kept") & (F.col("__sq_row") >= 0)).select(*docs.columns)
+    return judge(docs).where("__sq_kept").select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules' measures and verdict for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    return judge(docs).select(
+    return judge(docs, without=("text",)).select(
         "doc_id", _long(F.col("__sq_n")).alias("n_words"), _long(F.col("__sq_word_chars")).alias("word_chars"), _long(F.col("__sq_symbols")).alias("n_symbols"),
         _long(F.col("__sq_dup_lines")).alias("n_dup_lines"), _long(F.col("__sq_repeats")).alias("n_repeat_words"), F.col("__sq_failed").alias("base_failed"), F.col("__sq_kept").alias("kept"),
     )

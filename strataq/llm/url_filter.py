@@ -169,7 +169,10 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", text: s
     scored, _ = kept(scored, "url-odds")
     drop(spark, at_counts, at_urls, at_split)
     decided = parsed.where("verdict is not null")
-    rest = parsed.where("verdict is null").join(scored, ["host", "path"], "left")
+    # urls without a name need no join; that of the others is by shuffle at any size, as the scores grow with the pages
+    bare = (F.col("host") == "") & (F.col("path") == "")
+    left = parsed.where("verdict is null")
+    rest = left.where(~bare).join(scored.hint("merge"), ["host", "path"], "left").unionByName(left.where(bare).withColumn("odds", F.lit(0.0)))
     verdict = F.when(F.round(F.coalesce("odds", F.lit(0.0)) + F.lit(prior), 9) > 0, "block").otherwise("allow")
     return decided.unionByName(rest.select(key, "host", "path", "rule", verdict.alias("verdict")))
 

@@ -56,6 +56,9 @@ def test_query_equals_its_sql(spark, sf):
     assert got == sorted(con.execute(Q.ORACLE_SQL["op5_quality_rules"]).fetchall())
 
 
-def test_plan_has_no_python(spark):
-    plan = Q.op5_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+def test_plans_have_no_python_and_texts_are_read_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for p in (plan(Q.measured(docs)), plan(Q.op5_quality_rules(spark, "/root/testdata/sf0.001"))):
+        assert "Python" not in p and "Arrow" not in p and "Exchange" not in p
+    assert "documents.parquet" not in plan(Q.judge(docs))  # verdicts come from the written measures
