@@ -39,6 +39,31 @@ def test_entry_point(spark):
     assert set(Q.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
+def test_only_the_subpackage_itself_may_be_missing(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def missing(what):
+        def fake(name, *args, **kwargs):
+            if name.startswith("strataq.llm") or name == "corpus_pipeline":
+                raise ModuleNotFoundError(what, name=what)
+            return real(name, *args, **kwargs)
+
+        return fake
+
+    with monkeypatch.context() as m:
+        m.setattr(builtins, "__import__", missing("strataq.llm"))
+        assert set(importlib.reload(entry).queries()) == set(Q.QUERIES)
+        m.setattr(builtins, "__import__", missing("xxhash"))
+        with pytest.raises(ModuleNotFoundError):
+            importlib.reload(entry)
+    importlib.reload(entry)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

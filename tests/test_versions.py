@@ -48,7 +48,7 @@ def test_limit_counts_only_what_exists(spark):
 
 def test_partial_merge_drops_removals_only_with_the_oldest(spark):
     log = four_way(spark).withColumnRenamed("seq", "segment_id").selectExpr("key", "value", "is_deleted", "cast(segment_id as bigint) as seq", "cast(segment_id as int) as segment_id")
-    merged = S.merge_oldest(log, 2)
+    merged = S.merge_oldest(log, [1, 2])
     assert sorted(r[0] for r in merged.select("segment_id").distinct().collect()) == [2, 3, 4]
     assert not merged.where("segment_id = 2 and is_deleted").count()
     assert pairs(V.scan(merged.drop("segment_id"))) == pairs(V.scan(four_way(spark)))
@@ -56,7 +56,7 @@ def test_partial_merge_drops_removals_only_with_the_oldest(spark):
 
 def test_all_removed_merge_is_empty(spark):
     log = spark.createDataFrame([("a", b"1", False, 1, 1), ("a", b"", True, 2, 2)], "key string, value binary, is_deleted boolean, seq long, segment_id int")
-    assert S.merge_oldest(log, 2).count() == 0
+    assert S.merge_oldest(log, [1, 2]).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
