@@ -42,7 +42,7 @@ def merge_oldest(segments: DataFrame, ids: list[int]) -> DataFrame:
     return merged.select(*segments.columns).unionByName(segments.where(~F.col("segment_id").isin(ids)))
 
 
-RANGES = 256
+RANGES, SAMPLE = 256, 16
 
 
 def _range_of(key: Column, bounds: list[str]) -> Column:
@@ -61,13 +61,13 @@ def sparse_index(segments: DataFrame, every: int) -> DataFrame:
     """Each segment's first key and every ``every``-th after it; and its last key if the last block has more than one.
 
     Keys are numbered within ``RANGES`` ranges of a segment, each from what the ranges before it hold, so that no task
-    has a whole segment. The ranges' bounds are taken from some keys chosen by their hash, which is the same whenever a
-    task is repeated."""
+    has a whole segment. The ranges' bounds are taken from the keys of least hash, which are the same whenever a task is
+    repeated."""
     keys = segments.select("segment_id", "key")
-    n = keys.count()
-    some = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (16 * RANGES)))) == 0).select("key").distinct()
-    found = sorted((r["key"] for r in some.collect()), key=str.encode)  # about 16 a range
-    bounds = sorted({found[len(found) * k // RANGES] for k in range(1, RANGES)}, key=str.encode) if len(found) >= RANGES else found
+    some = keys.select("key", F.xxhash64("key").alias("h")).distinct().orderBy("h", "key").limit(SAMPLE * RANGES).collect()  # as many at most
+    found = sorted((r["key"] for r in some), key=str.encode)
+    several = len(found) == SAMPLE * RANGES  # fewer keys than that are one range
+    bounds = sorted({found[SAMPLE * k] for k in range(1, RANGES)}, key=str.encode) if several else []
     placed = keys.withColumn("range", _range_of(F.col("key"), bounds))
     held = placed.groupBy("segment_id", "range").agg(F.count("*").alias("held"))
     ranges = Window.partitionBy("segment_id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
@@ -68,7 +67,7 @@ class Files:
     def local(self, path: str) -> str | None:
         """The path on this machine, if it is on its own file system."""
         fs, p = self._at(path)
-        return unquote(urlparse(fs.makeQualified(p).toString()).path) if fs.getScheme() == "file" else None
+        return fs.makeQualified(p).toUri().getPath() if fs.getScheme() == "file" else None
 
     def read(self, path: str) -> str:
         fs, p = self._at(path)

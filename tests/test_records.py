@@ -68,6 +68,7 @@ def test_sparse_index_in_ranges_equals_numbering(spark, monkeypatch):
     from strataq.operators import segments as S
 
     monkeypatch.setattr(S, "RANGES", 8)
+    monkeypatch.setattr(S, "SAMPLE", 4)
     rng = random.Random(3)
     rows = [(s, f"k{k:05d}") for s, n in ((1, 500), (2, 1), (7, 33)) for k in rng.sample(range(10_000), n)]
     got = sorted(map(tuple, S.sparse_index(spark.createDataFrame(rows, "segment_id int, key string"), 16).collect()))
