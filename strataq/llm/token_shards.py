@@ -44,6 +44,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -57,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm._store import new_dir, opened, put
-from strataq.llm._text import codes_of, slices, texts, words_of
+from strataq.llm._text import slices, texts, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -263,13 +264,14 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        new = list(pieces.difference(self.known))
         if len(self.known) + len(new) > PIECES:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
+        code = "H" if self.width == 2 else "I"
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = np.array(x.ids, f"<u{self.width}").tobytes()
+                self.known[p] = array(code, x.ids).tobytes()
 
     def __call__(self, column: pa.Array) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
@@ -279,12 +281,18 @@ class Encoder:
             return [np.array([*x.ids, END_ID], f"<u{self.width}").tobytes() for x in found]
         lower = not pc.any(pc.match_substring(column, "<|")).as_py()
         words, counts = words_of(column, lower=lower)
-        codes, distinct = codes_of(words)
-        stems = [w.rstrip(TAIL) for w in distinct]
-        parts = [(s, w[len(s) :]) if len(s) < len(w) and s[-1:].lower().isalpha() and lower else (w, "") for w, s in zip(distinct, stems)]
-        self._learn({x for p in parts for x in p})
-        known = self.known
-        pieces = [known[a] + known[b] if b else known[a] for a, b in parts]
+        coded = pc.dictionary_encode(words)
+        codes, stems, tails = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), {}
+        if lower:  # marks at the end are pieces of their own, behind a letter
+            bare = pc.utf8_rtrim(coded.dictionary, characters=TAIL)
+            marked = np.flatnonzero(pc.less(pc.binary_length(bare), pc.binary_length(coded.dictionary)).to_numpy(zero_copy_only=False))
+            for i, stem in zip(marked.tolist(), bare.take(pa.array(marked)).to_pylist()):
+                if stem[-1:].lower().isalpha():
+                    tails[i], stems[i] = stems[i][len(stem) :], stem
+        self._learn({*stems, *tails.values()})
+        pieces = list(map(self.known.__getitem__, stems))
+        for i, tail in tails.items():
+            pieces[i] += self.known[tail]
         kind = np.dtype(f"<u{self.width}")
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // self.width
         flat, starts = np.frombuffer(b"".join(pieces), kind), np.cumsum(size) - size
