@@ -19,8 +19,12 @@ shingle's name is 48 bits of its hash and the bucket that other bits deal it to.
    ``n - ceil(PERCENT * n / 100) + 1``.
 4. Sets of the same size and prefix form one group, and groups that share a
    prefix shingle are candidates.  Verification starts with stars: each set
-   against ``HUBS`` hubs of other classes among its candidates (the least by as
-   many hashes), again while that joins many classes, and the head of its group.
+   against ``HUBS`` hubs of other classes among its candidates (a shingle has
+   those of the classes least by as many hashes; a set takes those that most of
+   its shingles have), again while that joins many classes, and the head of its group.
+   Then up to ``MORE`` times each remaining set against ``TRIES`` members, drawn
+   anew, of the largest class that most of its shingles have: a set may be
+   similar to a small part of a class only.
    This joins large groups of near copies without their pairs.  Then every
    candidate pair of groups, filtered by size and position, is expanded to the
    members that are not yet in one class; those whose sketches (the parities of
@@ -53,6 +57,7 @@ from strataq.llm._text import combine, hashed_words, mix, slices
 WIDTH, PERCENT = 5, 75
 RARE, HEAVY_IN_BATCH, HEAVY_LEAST = 1000, 16, 64
 HUBS, ROUNDS = 3, 2
+TRIES, MORE = 8, 4
 SKETCH = 8  # words of 64 bits
 BLOCK, KEYS_AT_ONCE = 64, 1 << 16
 BUCKET_SHINGLES = 8_000_000
@@ -110,7 +115,7 @@ def _named(key: str):
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    return ((hashes >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -319,15 +324,34 @@ def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str],
     parts, at_parts = kept(eligible.select("node", "grp", F.col("node").alias("label")), "join-parts")
     heads_of = eligible.select("node", "grp").join(groups.withColumnRenamed("node", "other"), "grp").where("node <> other")
     links, folders = spark.createDataFrame([], "a long, b long"), []
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + MORE):
         rest, at_rest = _between(postings, parts)
-        hub = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "grp", "label").alias("h"), "grp", "label")).alias(f"hub{k}")  # noqa: B023, E731
-        hubs, at_hubs = kept(rest.groupBy("shingle").agg(*map(hub, range(HUBS))), "join-hubs")
-        other = lambda k: F.min(F.when(F.col(f"hub{k}.label") != F.col("label"), F.col(f"hub{k}")))
-        near = rest.select("shingle", "grp", "label").join(hubs, "shingle").groupBy("grp", "label").agg(F.array(*map(other, range(HUBS))).alias("hubs"))
-        near = near.select("grp", "label", F.explode(F.array_compact("hubs")).alias("hub")).select("grp", "label", F.col("hub.grp").alias("hub_grp"), F.col("hub.label").alias("hub_label")).distinct()
-        chosen = parts.groupBy(F.col("grp").alias("hub_grp"), F.col("label").alias("hub_label")).agg(F.min("node").alias("other"))
-        stars = parts.join(near, ["grp", "label"]).join(chosen, ["hub_grp", "hub_label"]).select("node", "other")
+        if turn and rest.isEmpty():
+            drop(spark, at_rest)
+            break
+        # by class first, so that a large class doesn't hide the others; later the largest one, so that others don't hide it
+        drawn = lambda k, *what: F.xxhash64(F.lit(turn * HUBS + k), *what)  # noqa: B023, E731
+        hub = lambda k, h: F.min(F.struct(h.alias("h"), drawn(k, "grp", "label").alias("g"), "grp", "label")).alias(f"hub{k}")  # noqa: B023, E731
+        if turn < ROUNDS:
+            found = rest.groupBy("shingle").agg(*(hub(k, drawn(k, "label")) for k in range(HUBS)))
+        else:
+            sizes = parts.groupBy("label").agg(F.count("*").alias("size"))
+            found = rest.join(sizes, "label").groupBy("shingle").agg(hub(0, -F.col("size")))
+        hubs, at_hubs = kept(found, "join-hubs")
+        # the hubs that come up for most of its shingles: those of frequent shingles are seldom similar
+        votes = rest.select("shingle", "grp", "label").join(hubs, "shingle").select("grp", "label", F.explode(F.array_compact(F.array(*hubs.columns[1:]))).alias("hub"))
+        votes = votes.where("hub.label <> label").groupBy("grp", "label", "hub").agg(F.count("*").alias("votes"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("votes"), "hub"))), 1, HUBS)  # of HUBS a shingle
+        near = votes.groupBy("grp", "label").agg(best.alias("hubs")).select("grp", "label", F.explode("hubs.hub").alias("hub"))
+        near = near.select("grp", "label", F.col("hub.grp").alias("hub_grp"), F.col("hub.label").alias("hub_label"))
+        if turn < ROUNDS:
+            chosen = parts.groupBy(F.col("grp").alias("hub_grp"), F.col("label").alias("hub_label")).agg(F.min("node").alias("other"))
+            stars = parts.join(near, ["grp", "label"]).join(chosen, ["hub_grp", "hub_label"]).select("node", "other")
+        else:  # a set may be similar to some of a large class only, so several of it are tried, others each time
+            one = lambda k: F.min(F.struct(F.xxhash64(F.lit(turn * TRIES + k), "node").alias("h"), "node"))  # noqa: B023, E731
+            chosen = parts.groupBy(F.col("label").alias("hub_label")).agg(F.count("*").alias("size"), F.array(*map(one, range(TRIES))).alias("tried"))
+            chosen = chosen.where(F.col("size") >= TRIES).select("hub_label", F.explode(F.array_distinct("tried.node")).alias("other"))
+            stars = parts.join(near.select("grp", "label", "hub_label").distinct(), ["grp", "label"]).join(chosen, "hub_label").select("node", "other")
         stars = stars if turn else stars.unionAll(heads_of.select("node", "other"))
         found, at_found = _verified(stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), eligible)
         links, folders = links.unionAll(found), [*folders, at_found]
@@ -337,7 +361,7 @@ def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str],
         parts, at_parts = kept(eligible.select("node", "grp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-parts")
         joined = old.select("label").distinct().count() - parts.select("label").distinct().count()
         drop(spark, at_rest, at_hubs, at_old, *at_labels)
-        if joined <= before // 100:
+        if joined <= before // 100 and turn != ROUNDS - 1:
             break
 
     # then all pairs that are not yet in one class; a part of one set is sketched before its shingles meet others
