@@ -251,3 +251,40 @@ def test_bits_per_byte_are_of_the_coded_bytes(table):
     for i, t in enumerate(texts):
         n = sum(len((w or "").encode()) + 1 for w in tokens(t))
         assert got[i]["n_bytes"] == n and math.isclose(got[i]["bits_per_byte"], -got[i]["score"] / math.log10(2) / n, rel_tol=1e-9)
+
+
+def test_matches_are_looked_up_at_every_place():
+    """Each place with ORDER words of its text, but the end, which nothing follows."""
+    sizes = np.array([1, 3, 4, 9, 70])
+    at, _, n = L.anchors_of(L.hashes_of(pa.array([f"w{i}" for i in range(87)])), sizes)
+    starts = np.cumsum(sizes) - sizes
+    assert at.tolist() == [s + p for s, size in zip(starts.tolist(), sizes.tolist()) for p in range(L.ORDER - 1, size - 1)]
+    assert (n == 1).all()
+
+
+def test_keys_in_parts_equal_all_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    size = 400
+    key, n, times = rng.integers(0, 250, size).astype(np.uint64), rng.integers(1, 4, size), rng.integers(0, 3, size).astype(np.int32)
+    key[:40], n[0] = 7, L.RUN
+    run = rng.integers(0, 2, n.sum()).astype(np.uint16)
+    want = L.expected_runs(key, run, n, times)
+    for some in (1, 16, 1 << 18):
+        monkeypatch.setattr(L, "KEYS_AT_ONCE", some)
+        got = L.expected(key, run, n, times)
+        for a, b in zip(want, got):
+            assert np.array_equal(np.where(want[0], a, 0), np.where(got[0], b, 0))
+    assert [x.shape for x in L.expected(key[:0], run[:0], n[:0], times[:0])] == [(2, 0)] * 3
+
+
+def test_a_short_passage_of_a_training_text_is_found_anywhere(table):
+    """Passages of eight words amid others, held out, against the same words in another order: five places are predicted."""
+    rows = [(i, " ".join([f"t{i}w{k}" for k in range(60)] + [f"c{k}" for k in range(60)]), None, None, None) for i in range(40)]
+    rng = random.Random(6)
+    for i in range(40):
+        at = rng.randrange(52)
+        inside = [f"t{i}w{k}" for k in range(at, at + 8)]
+        rows += [(100 + i, " ".join([f"n{i}", *inside, f"m{i}"]), None, None, None), (200 + i, " ".join([f"n{i}", *inside[::-1], f"m{i}"]), None, None, None)]
+    got = {r["doc_id"]: r["score"] for r in L.score_texts(table(rows).select("doc_id", "text"), F.col("doc_id") >= 100).collect()}
+    for i in range(40):
+        assert got[100 + i] > got[200 + i] + 10, i
