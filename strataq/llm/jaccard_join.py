@@ -48,17 +48,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm._store import Scope, drop, kept
-from strataq.llm._text import combine, hashed_words, mix, slices
+from strataq.llm._text import combine, hashed_words, mix, settle, slices
 
 WIDTH, PERCENT = 5, 75
 RARE, HEAVY_IN_BATCH, HEAVY_LEAST = 1000, 16, 64
 HUBS, ROUNDS = 3, 2
 TRIES, MORE = 8, 4
 SKETCH = 8  # words of 64 bits
+_SKETCHED = ("unshared", *(f"s{k}" for k in range(SKETCH)))
 BLOCK, KEYS_AT_ONCE = 64, 1 << 16
 BUCKET_SHINGLES = 8_000_000
 _LOW, _BYTE = np.uint64((1 << 48) - 1), np.uint64(255)
@@ -110,6 +111,7 @@ def _named(key: str):
                 heavy = docs >= max(HEAVY_IN_BATCH, batch.num_rows // RARE)
                 if k := int(np.count_nonzero(heavy)):
                     yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.schema.field(key).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(shingles[heavy].view(np.int64)), pa.array(docs[heavy])], [key, "node", "n", "shingle", "docs"])
+            settle()
 
     return run
 
@@ -153,7 +155,7 @@ def _dealing(heavy: np.ndarray, weight: np.ndarray, buckets: int):
                     keys = _keys(weight[at[often]], _bucket(shingles[often], buckets).astype(np.uint64), shingles[often] & _LOW)
                     rows += _by_bucket(2, owner[often].view(np.uint64) % np.uint64(buckets), buckets, owner[often], keys)
                 yield _packed(rows)
-            pa.default_memory_pool().release_unused()
+            settle()
 
     return run
 
@@ -206,7 +208,7 @@ def _counting(buckets: int):
             if rows:
                 yield _packed(rows)
             del owner, low, order, edge, docs, keys, rows
-        pa.default_memory_pool().release_unused()
+        settle()
 
     return run
 
@@ -248,6 +250,8 @@ def _choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield _eligible(out)
+    del names, sizes, owner, keys, place, order, out
+    settle()
 
 
 def _eligible(rows: list[tuple]) -> pa.RecordBatch:
@@ -324,10 +328,13 @@ def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str],
     parts, at_parts = kept(eligible.select("node", "grp", F.col("node").alias("label")), "join-parts")
     heads_of = eligible.select("node", "grp").join(groups.withColumnRenamed("node", "other"), "grp").where("node <> other")
     links, folders = spark.createDataFrame([], "a long, b long"), []
+    at_rest = at_postings
     for turn in range(ROUNDS + MORE):
-        rest, at_rest = _between(postings, parts)
+        rest, at_new = _between(postings, parts)
+        drop(spark, at_rest)
+        # classes only grow, so a shingle that one class has is done for good
+        postings, at_rest = rest.where("first").drop("label", "first"), at_new
         if turn and rest.isEmpty():
-            drop(spark, at_rest)
             break
         # by class first, so that a large class doesn't hide the others; later the largest one, so that others don't hide it
         drawn = lambda k, *what: F.xxhash64(F.lit(turn * HUBS + k), *what)  # noqa: B023, E731
@@ -360,21 +367,21 @@ def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str],
         old, at_old = parts, at_parts
         parts, at_parts = kept(eligible.select("node", "grp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-parts")
         joined = old.select("label").distinct().count() - parts.select("label").distinct().count()
-        drop(spark, at_rest, at_hubs, at_old, *at_labels)
+        drop(spark, at_hubs, at_old, *at_labels)
         if joined <= before // 100 and turn != ROUNDS - 1:
             break
 
     # then all pairs that are not yet in one class; a part of one set is sketched before its shingles meet others
-    sketch = ["unshared", *(f"s{k}" for k in range(SKETCH))]
+    sketch = _SKETCHED
     sketched, at_sketched = kept(parts.join(eligible.select("node", "n", *sketch), "node"), "join-sketched")
     alone = sketched.groupBy("grp", "label").agg(F.first("n").alias("n"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in sketch))
     alone, at_alone = kept(alone.select("grp", "label", "n", *(F.when(F.col("members") == 1, F.col(c)).alias(c) for c in sketch)), "join-alone")
-    rest, at_rest = _between(postings, parts)
+    rest, at_new = _between(postings, parts)
+    drop(spark, at_rest)
     rest = rest.join(alone.drop("n"), ["grp", "label"])
     x, y = (rest.select(*(F.col(c).alias(c if c == "shingle" else f"{c}_{s}") for c in rest.columns)) for s in "ab")
-    apart = F.col("unshared_a") + F.col("unshared_b") + sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
     both = F.col("n_a") + F.col("n_b")
-    near = F.coalesce((100 + PERCENT) * (both - apart) >= 2 * PERCENT * both, F.lit(True))
+    near = _near(both)
     fits = (F.col("label_a") < F.col("label_b")) & (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
     room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     fits &= (100 + PERCENT) * room >= PERCENT * both
@@ -387,24 +394,42 @@ def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str],
     x, y = (sketched.select(*(F.col(c).alias(f"{c}_{s}") for c in sketched.columns if c != "node"), F.col("node").alias(s)) for s in "ab")
     pairs = pairs.join(x, ["grp_a", "label_a"]).join(y, ["grp_b", "label_b"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     found, at_found = _verified(pairs, eligible)
-    drop(spark, at_groups, at_postings, at_parts, at_rest, at_sketched, at_alone)
+    drop(spark, at_groups, at_parts, at_new, at_sketched, at_alone)
     return documents, links.unionAll(found), [at_named, *folders, at_found], eligible, at_eligible
 
 
 def _between(postings: DataFrame, parts: DataFrame) -> tuple[DataFrame, str]:
-    """Prefix shingles of the parts (grp, label) of groups, but only shingles that several labels have; and their folder."""
-    by_part = postings.join(parts.select("grp", "label").distinct(), "grp")
+    """Prefix shingles of the parts (grp, label) of groups, but only shingles that several labels have, with the ``first`` part
+    of each group marked; and their folder."""
+    low = parts.groupBy("grp").agg(F.min("label").alias("low"))
+    named = parts.select("grp", "label").distinct().join(low, "grp").select("grp", "label", (F.col("label") == F.col("low")).alias("first"))
+    by_part = postings.join(named, "grp")
     several, at = kept(by_part.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle"), "join-several")
     rest, at_rest = kept(by_part.join(several, "shingle", "left_semi"), "join-rest")
     drop(postings.sparkSession, at)
     return rest, at_rest
 
 
+def _apart() -> Column:
+    """At least so many shingles are in one of two sets (a and b) only: those that are unshared, and the places in which their sketches differ."""
+    return F.col("unshared_a") + F.col("unshared_b") + sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH)), F.lit(0))
+
+
+def _near(both: Column) -> Column:
+    """Whether two sets may be similar, of ``both`` sizes together; also where a sketch is missing."""
+    return F.coalesce((100 + PERCENT) * (both - _apart()) >= 2 * PERCENT * both, F.lit(True))
+
+
 def _verified(pairs: DataFrame, eligible: DataFrame) -> tuple[DataFrame, str]:
-    """The pairs (a, b) of nodes whose sets are similar, as a table, and its folder."""
-    x, y = (eligible.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("keys").alias(f"keys_{s}")) for s in "ab")
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "keys_a", "keys_b")
-    return kept(both.mapInArrow(_verifying, "a long, b long"), "join-links")
+    """The pairs (a, b) of nodes whose sets are similar, as a table, and its folder. Only sets of pairs that their sketches leave travel."""
+    x, y = (eligible.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", *_SKETCHED))) for s in "ab")
+    left = pairs.join(y, "b").join(x, "a").where(_near(F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
+    left, at_left = kept(left, "join-near")
+    x, y = (eligible.select(F.col("node").alias(s), F.col("keys").alias(f"keys_{s}")).join(left.select(s).distinct(), s, "left_semi") for s in "ab")
+    both = left.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "keys_a", "keys_b")
+    found = kept(both.mapInArrow(_verifying, "a long, b long"), "join-links")
+    drop(pairs.sparkSession, at_left)
+    return found
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -512,6 +537,7 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shingle_sets(part.column("text"))[1])], [*part.schema.names, "__sq_node"])
+        settle()
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:

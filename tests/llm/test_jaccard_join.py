@@ -139,3 +139,27 @@ def test_members_of_sets_beside_other_keys():
 
     keys = [np.array(k, np.uint64) for k in ([1, 5, 9], [2, 5, 6], [9])]
     assert J._members(np.concatenate(keys), keys, np.array([2, 5], np.uint64)).tolist() == [[0, 1], [1, 1], [0, 0]]
+
+
+def test_rounds_go_on_from_what_the_last_one_left(table, monkeypatch):
+    """Shingles of one class are not dealt again, and only sets of pairs that the sketches leave are moved."""
+    seen, moved = [], []
+    between, kept = J._between, J.kept
+
+    def watched(postings, parts):
+        seen.append(postings.count())
+        return between(postings, parts)
+
+    def written(df, what, *rest):
+        out = kept(df, what, *rest)
+        if what in ("join-near", "join-links"):
+            moved.append((what, out[0].count()))
+        return out
+
+    monkeypatch.setattr(J, "_between", watched)
+    monkeypatch.setattr(J, "kept", written)
+    rows = corpus(1)
+    assert classes(J.similar_documents(table([(*r, None, None, None) for r in rows]))) == sorted(brute(rows), key=repr)
+    assert len(seen) > 2 and seen[1:] == sorted(seen[1:], reverse=True) and seen[-1] < seen[0]
+    assert [w for w, _ in moved] == ["join-near", "join-links"] * (len(moved) // 2)
+    assert all(near >= links for (_, near), (_, links) in zip(moved[::2], moved[1::2]))
