@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strataq.llm._text import mix, slices, texts
+from strataq.llm._text import mix, settle, slices, texts
 
 Q = 8
 ERRORS = 0.08
@@ -254,6 +254,7 @@ def _finding(block, key: str, kind: pa.DataType):
                     [part.column(key).take(pa.array(columns[0], pa.int64())), pa.array([items.ids[k] for k in columns[1]], kind), *(pa.array(c, pa.int64()) for c in columns[2:])],
                     [key, "item_id", "start", "end", "edits"],
                 )
+            settle()
 
     return run
 
@@ -277,6 +278,7 @@ def _clearing(block):
                 clean = np.ones(part.num_rows, bool)
                 clean[[m[0] for m in matches(items, part.column("text"))]] = False
                 yield part.filter(pa.array(clean))
+            settle()
 
     return run
 
