@@ -9,10 +9,16 @@ shingle's name is 48 bits of its hash and the bucket that other bits deal it to.
    compared nor expanded.  Shingles that are frequent within some batch are
    summed, and those of at least 1 in ``RARE`` documents make the "heavy" list;
    its length is bounded by ``RARE`` times the mean size of a set.
-2. Every set's other shingles are dealt by hash, packed by batch (each set once
-   a batch), and counted: those of one set only can be in no intersection, the
-   others go back to their sets with their count's class.  Heavy shingles skip
-   this, so no task gathers the documents of a frequent shingle.
+2. In the order of hashes, heavy ones last, similar sets have their first ``m``
+   common shingles within their first ``n - ceil(PERCENT * n / 100) + m`` each.
+   With an ``m`` of 1 in ``MARGIN`` of a set, these prefixes are dealt by hash,
+   packed by batch (each set once a batch), and sets that share too few of theirs
+   with others are done.  The texts of the rest are marked in a bitmap of their
+   digests; its size is bounded, and a text that has a mark by chance does no harm.
+   The marked sets' shingles are dealt whole and counted: those of one set only
+   can be in no intersection, the others go back to their sets with their count's
+   class.  Heavy shingles skip both, so no task gathers the documents of a
+   frequent shingle.
 3. A set orders its shingles from rare to frequent: unshared ones first, then
    by class of count.  Sets whose shared shingles are too few are done.  Of the
    rest, similar sets share a shingle in their prefixes of
@@ -52,7 +58,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm._store import Scope, drop, kept
-from strataq.llm._text import combine, hashed_words, mix, settle, slices
+from strataq.llm._text import combine, hashed_words, mix, settle, slices, texts
 
 WIDTH, PERCENT = 5, 75
 RARE, HEAVY_IN_BATCH, HEAVY_LEAST = 1000, 16, 64
@@ -62,7 +68,9 @@ SKETCH = 8  # words of 64 bits
 _SKETCHED = ("unshared", *(f"s{k}" for k in range(SKETCH)))
 BLOCK, KEYS_AT_ONCE = 64, 1 << 16
 BUCKET_SHINGLES = 8_000_000
-_LOW, _BYTE = np.uint64((1 << 48) - 1), np.uint64(255)
+MARGIN = 16
+MARK_BITS, MOST_BITS = 16, 1 << 28
+_LOW, _HALF, _BYTE = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64(255)
 _HEAVY_CLASS = 200
 #: Packed rows of the two exchanges.
 PACKED = "bucket long, kind int, sets binary, keys binary, sizes binary"
@@ -132,21 +140,71 @@ def _by_bucket(kind: int, bucket: np.ndarray, buckets: int, *arrays: np.ndarray)
     return [(b, kind, *(a[cuts[b] : cuts[b + 1]].tobytes() for a in arrays), *[b""] * (3 - len(arrays))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-def _dealing(heavy: np.ndarray, weight: np.ndarray, buckets: int):
-    """Packs the shingles of a batch's distinct sets by bucket (kind 0), and the sets with their heavy shingles (kinds 1 and 2)."""
+def _digests(column: pa.Array) -> np.ndarray:
+    """A hash of each whole text."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.as_buffer()) for t in texts(column)), np.uint64, len(column))
+
+
+def _least(n: np.ndarray | int):
+    """The least intersection with any linked set, of a set of ``n``."""
+    return -(-PERCENT * n // 100)
+
+
+def _prefix(n: np.ndarray | int):
+    """The length of the prefix, in the order of hashes, of a set of ``n``, and how many of its shingles a linked set's prefix has too."""
+    # the least linked set is one of _least(n), whose prefix gives as many
+    return np.minimum(n, n - _least(n) + np.maximum(1, n // MARGIN)), np.maximum(1, _least(n) // MARGIN)
+
+
+def _found(heavy: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's place among the heavy ones, and whether it is one."""
+    at = np.minimum(np.searchsorted(heavy, shingles), max(0, len(heavy) - 1))
+    return at, heavy[at] == shingles if len(heavy) else np.zeros(len(shingles), bool)
+
+
+def _prefixes(heavy: np.ndarray, buckets: int):
+    """Packs the prefixes of a batch's distinct sets by bucket (kind 0), and the sets with the number to be shared and a text's digest (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = {0}
             for part in slices(batch, "text"):
+                sets, names = shingle_sets(part.column("text"))
+                new = [i for i, name in enumerate(names.tolist()) if not (name in done or done.add(name))]
+                if not new:
+                    continue
+                size = np.array([len(sets[i]) for i in new])
+                shingles, place = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), size)
+                _, often = _found(heavy, shingles)
+                light, place = shingles[~often], place[~often]
+                have = np.bincount(place, minlength=len(new))
+                length, need = _prefix(size)
+                first = np.arange(len(light)) - (np.cumsum(have) - have)[place] < length[place]
+                light, owner = light[first], names[new][place[first]]
+                # chance meetings do no harm, so 32 bits will do; the bucket is by others, and not by those that the order goes by
+                rows = _by_bucket(0, _bucket(light << np.uint64(16), buckets), buckets, owner, (light & _HALF).astype("<u4"))
+                need = need - np.maximum(0, length - have)  # heavy ones may be shared
+                rows += _by_bucket(1, names[new].view(np.uint64) % np.uint64(buckets), buckets, names[new], need.astype(np.int64), _digests(part.column("text"))[new])
+                yield _packed(rows)
+            settle()
+
+    return run
+
+
+def _dealing(heavy: np.ndarray, weight: np.ndarray, marks: np.ndarray, buckets: int):
+    """Packs the shingles of the distinct sets of a batch's marked texts by bucket (kind 0), and the sets with their heavy shingles (kinds 1 and 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done: set[int] = {0}
+            for part in slices(batch.filter(pa.array(_has_mark(marks, _digests(batch.column("text"))))), "text"):
                 sets, names = shingle_sets(part.column("text"))
                 new = [i for i, name in enumerate(names.tolist()) if not (name in done or done.add(name))]
                 if not new:
                     continue
                 size = np.array([len(sets[i]) for i in new])
                 shingles, owner = np.concatenate([sets[i] for i in new]), np.repeat(names[new], size)
-                at = np.minimum(np.searchsorted(heavy, shingles), max(0, len(heavy) - 1))
-                often = heavy[at] == shingles if len(heavy) else np.zeros(len(shingles), bool)
+                at, often = _found(heavy, shingles)
                 light = shingles[~often]
                 low = (light & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 rows = _by_bucket(0, _bucket(light, buckets), buckets, owner[~often], low)
@@ -169,8 +227,20 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def _counting(buckets: int):
-    """Counts the sets of each shingle; shared ones go on with their class, by set (kind 2); sets pass."""
+def _with_number(bucket: int, buckets: int, owner: np.ndarray, low: np.ndarray, docs: np.ndarray) -> list[tuple]:
+    """Sets with the number of their shared shingles."""
+    owner, number = np.unique(owner, return_counts=True)
+    return _by_bucket(2, owner.view(np.uint64) % np.uint64(buckets), buckets, owner, number.astype(np.int64))
+
+
+def _with_class(bucket: int, buckets: int, owner: np.ndarray, low: np.ndarray, docs: np.ndarray) -> list[tuple]:
+    """Sets with their shared shingles, named with their class."""
+    classes = np.minimum(_HEAVY_CLASS - 1, 4 * np.log2(docs)).astype(np.uint64)
+    return _by_bucket(2, owner.view(np.uint64) % np.uint64(buckets), buckets, owner, _keys(classes, np.full(len(classes), bucket, np.uint64), low))
+
+
+def _counting(buckets: int, width: int, told):
+    """Counts the sets of each shingle (of ``width`` bytes); shared ones go on as ``told``, by set (kind 2); sets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, tuple[list, list]] = {}
@@ -186,8 +256,8 @@ def _counting(buckets: int):
                     keys.append(np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint8))
         while by_bucket:
             bucket, (sets, keys) = by_bucket.popitem()
-            owner, low = np.concatenate(sets), np.zeros((sum(map(len, keys)) // 6, 8), np.uint8)
-            low[:, :6] = np.concatenate(keys).reshape(-1, 6)
+            owner, low = np.concatenate(sets), np.zeros((sum(map(len, keys)) // width, 8), np.uint8)
+            low[:, :width] = np.concatenate(keys).reshape(-1, width)
             low = low.view("<u8").ravel()
             del sets, keys
             order = np.argsort(low, kind="stable")
@@ -202,20 +272,43 @@ def _counting(buckets: int):
             edge = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True]))) if len(low) else np.zeros(1, np.int64)
             docs = np.repeat(np.diff(edge), np.diff(edge))
             shared = docs > 1
-            classes = np.minimum(_HEAVY_CLASS - 1, 4 * np.log2(docs[shared])).astype(np.uint64)
-            keys = _keys(classes, np.full(len(classes), bucket, np.uint64), low[shared])
-            rows = _by_bucket(2, owner[shared].view(np.uint64) % np.uint64(buckets), buckets, owner[shared], keys)
+            rows = told(bucket, buckets, owner[shared], low[shared], docs[shared])
             if rows:
                 yield _packed(rows)
-            del owner, low, order, edge, docs, keys, rows
+            del owner, low, order, edge, docs, rows
         settle()
 
     return run
 
 
-def _least(n: np.ndarray | int):
-    """The least intersection with any linked set, of a set of ``n``."""
-    return -(-PERCENT * n // 100)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of texts whose sets share enough of their prefixes, one of each set."""
+    rows = [r for b in batches for r in b.select(["kind", "sets", "keys", "sizes"]).to_pylist()]
+    names, need, digests = (np.frombuffer(b"".join(r[c] for r in rows if r["kind"] == 1), np.int64) for c in ("sets", "keys", "sizes"))
+    owner, number = (np.frombuffer(b"".join(r[c] for r in rows if r["kind"] == 2), np.int64) for c in ("sets", "keys"))
+    del rows
+    names, at = np.unique(names, return_index=True)
+    shared = np.bincount(np.searchsorted(names, owner), weights=number, minlength=len(names))
+    yield pa.RecordBatch.from_arrays([pa.array(digests[at][shared >= need[at]])], ["digest"])
+    settle()
+
+
+def _marked(digests: DataFrame) -> np.ndarray:
+    """A bitmap with a bit set for each digest: ``MARK_BITS`` or more a digest, but ``MOST_BITS`` at most."""
+    bits, wanted = 1 << 15, min(MARK_BITS * digests.count(), MOST_BITS)
+    while bits < wanted:
+        bits *= 2
+    place = F.col("digest").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = digests.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    marks = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in parts.collect():
+        marks[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return marks.ravel()
+
+
+def _has_mark(marks: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    place = digests & np.uint64(8 * len(marks) - 1)
+    return marks[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
 
 
 def _choosing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,8 +409,14 @@ def _linked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str],
     heavy = np.array([r[0] for r in rows], np.uint64)
     weight = _HEAVY_CLASS + np.minimum(255 - _HEAVY_CLASS, np.log2([r[1] for r in rows] or [1.0])).astype(np.int64)
 
-    dealt = docs.select("text").mapInArrow(_dealing(heavy, weight, buckets), PACKED).repartitionById(buckets, F.col("bucket").cast("int"))
-    shared = dealt.mapInArrow(_counting(buckets), PACKED).repartitionById(buckets, F.col("bucket").cast("int"))
+    by_bucket = lambda rows: rows.repartitionById(buckets, F.col("bucket").cast("int"))
+    dealt = by_bucket(docs.select("text").mapInArrow(_prefixes(heavy, buckets), PACKED))
+    shared = by_bucket(dealt.mapInArrow(_counting(buckets, 4, _with_number), PACKED))
+    candidates, at_candidates = kept(shared.mapInArrow(_candidates, "digest long"), "join-candidates")
+    marks = _marked(candidates)
+    drop(spark, at_candidates)
+    dealt = by_bucket(docs.select("text").mapInArrow(_dealing(heavy, weight, marks, buckets), PACKED))
+    shared = by_bucket(dealt.mapInArrow(_counting(buckets, 6, _with_class), PACKED))
     eligible, at_eligible = kept(shared.mapInArrow(_choosing, ELIGIBLE), "join-sets")
 
     groups, at_groups = kept(eligible.groupBy("grp").agg(F.min("node").alias("node")), "join-groups")

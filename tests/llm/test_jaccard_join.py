@@ -163,3 +163,50 @@ def test_rounds_go_on_from_what_the_last_one_left(table, monkeypatch):
     assert len(seen) > 2 and seen[1:] == sorted(seen[1:], reverse=True) and seen[-1] < seen[0]
     assert [w for w, _ in moved] == ["join-near", "join-links"] * (len(moved) // 2)
     assert all(near >= links for (_, near), (_, links) in zip(moved[::2], moved[1::2]))
+
+
+def test_sets_that_link_with_none_are_not_dealt_whole(table, monkeypatch):
+    """Of texts without a like, only prefixes travel."""
+    rows = list(enumerate([prose(3000 + i, 200, 2000) for i in range(60)] + [changed(prose(3000, 200, 2000), 2, random.Random(1))]))
+    docs = table([(*r, None, None, None) for r in rows])
+    moved, real = [], type(docs).repartitionById
+
+    def watched(df, *args):
+        moved.append(df.selectExpr("coalesce(sum(length(sets) + length(keys) + length(sizes)), 0)").first()[0])
+        return real(df, *args)
+
+    monkeypatch.setattr(type(docs), "repartitionById", watched)
+    assert classes(J.similar_documents(docs)) == sorted(brute(rows), key=repr)
+    total = sum(len(shingles(t)) for _, t in rows)
+    assert max(moved) < 6 * total and sum(moved) < 8 * total
+
+
+@pytest.mark.parametrize("margin", [4, 16, 1000])
+def test_linked_sets_share_enough_of_their_prefixes(monkeypatch, margin):
+    import numpy as np
+
+    monkeypatch.setattr(J, "MARGIN", margin)
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(1, 150))
+        pool = rng.permutation(4 * n)
+        a, common = np.sort(pool[:n]), int(rng.integers(J._least(n), n + 1))
+        b = np.sort(np.concatenate((rng.permutation(a)[:common], pool[n : n + int(rng.integers(0, n // 3 + 1))])))
+        if 100 * common >= 75 * (len(a) + len(b) - common):
+            (p, need_a), (q, need_b) = J._prefix(len(a)), J._prefix(len(b))
+            assert len(np.intersect1d(a[:p], b[:q])) >= max(need_a, need_b)
+
+
+def test_marks_of_digests(spark, monkeypatch):
+    import numpy as np
+
+    digests = np.array([0, 1, -1, 2**63 - 1, -(2**63), 32767, 32768, *range(10**6, 10**15, 10**12 + 7)], np.int64)
+    table = spark.createDataFrame([(int(x),) for x in digests], "digest long")
+    others = np.random.default_rng(1).integers(0, 2**64, 10000, np.uint64)
+    for most, share in ((1 << 28, 0.1), (1 << 15, 0.1)):
+        monkeypatch.setattr(J, "MOST_BITS", most)
+        monkeypatch.setattr(J, "MARK_BITS", 100)
+        marks = J._marked(table)
+        assert len(marks) == (1 << 17 if most > 1 << 17 else most) // 8
+        assert J._has_mark(marks, digests.view(np.uint64)).all() and J._has_mark(marks, others).mean() < share
+    assert not J._has_mark(J._marked(table.limit(0)), others).any()
