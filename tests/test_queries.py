@@ -31,6 +31,22 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == rows
 
 
+BESIDE = ["kv_store_bplus"]
+
+
+@pytest.mark.parametrize("name", BESIDE)
+@pytest.mark.parametrize("status", ["O", "P", "F"])
+def test_the_single_record_is_beside_order_0(spark, tmp_path, name, status):
+    rows = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string"
+    path = str(tmp_path / "orders.parquet")
+    spark.createDataFrame([(0, 1, status, "5-LOW"), (1, 0, "O", "1-URGENT"), (2, 7, "F", "1-URGENT"), (3, 2, "P", "3-MEDIUM")], rows).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(Q.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
