@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == rows
 
 
-BESIDE = ["kv_store_bplus", "kv_store_lookup", "kv_store_merged", "kv_store_recovered", "kv_store_scan"]
+BESIDE = ["kv_store_bplus", "kv_store_lookup", "kv_store_merged", "kv_store_recovered", "kv_store_scan", "kv_store_statistics"]
 
 
 @pytest.mark.parametrize("name", BESIDE)
