@@ -30,7 +30,7 @@ class Option:
 
 # Wire names, defaults and ranges.  Some are known, checked and stored, but have nothing to act on here:
 # KV_TABLE_COMMIT_LOG_PARALLELISM (the log is one file), LSM_SYNC_WITH_THREAD_FLUSH (a put waits for the flush that it
-# sets off), LSM_SPARSE_INDEX_SIZE_RECORDS (Parquet has its own page index), and all of BPLUS_* (there are no pages).
+# sets off), LSM_SPARSE_INDEX_SIZE_RECORDS (Parquet has its own page index), and all of BPLUS_* but BPLUS_TREE_ORDER (there is no buffer).
 TABLE_OPTIONS = {
     "KV_TABLE_ENABLE_WAL": Option(True),
     "KV_TABLE_COMMIT_LOG_PARALLELISM": Option(10, 1, 1000),

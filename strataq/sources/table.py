@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.operators.versions import LOG, live, merged
+from strataq.plans.query import ALL, KeyQuery
 from strataq.sources.files import Appender, Files
 
 RETAIN = 600.0  # seconds that files stay for readers of an older state
@@ -40,13 +41,23 @@ TRIES = 20
 
 @dataclass
 class Manifest:
-    """Live segments in ascending order as [id, version, offset of seq], the next sequence number, the log files they cover, and retired segments as [name, time]."""
+    """Live segments in ascending order as [id, version, offset of seq], the next sequence number, the log files they cover, retired segments as [name, time], and the root of a tree."""
 
     number: int = 0
     segments: list[list[int]] = field(default_factory=list)
     next_seq: int = 0
     covered: list[str] = field(default_factory=list)
     retired: list[list] = field(default_factory=list)
+    root: str = ""
+
+
+def routed(rows: DataFrame, lows: list[str], name: str = "leaf") -> DataFrame:
+    """Rows with the index of the last of ascending ``lows`` that is not above the row's key (0 if all are), by binary search."""
+    if len(lows) < 2:
+        return rows.withColumn(name, F.lit(0))
+    bounds, steps = F.lit(lows), [1 << i for i in reversed(range(len(lows).bit_length()))]
+    at = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step) <= F.col("key"), at + step).otherwise(at))
+    return rows.withColumn(name, at)
 
 
 class SegmentTable:
@@ -154,6 +165,10 @@ class SegmentTable:
         scans = [self.spark.read.schema(LOG).parquet(*at).withColumn("seq", F.col("seq") + offset) if offset else self.spark.read.schema(LOG).parquet(*at) for offset, at in paths.items()]
         return merged(*scans) if scans else self.spark.createDataFrame([], LOG)
 
+    def state(self, manifest: Manifest, query: KeyQuery = ALL, keys: DataFrame | None = None) -> tuple[DataFrame, bool]:
+        """All changes that the manifest has within the query's bounds, or of ``keys``, and others, perhaps; and whether each key is there once."""
+        return self.read(manifest.segments), len(manifest.segments) < 2
+
     def read_segments(self) -> DataFrame:
         """Changes of the live segments with segment_id."""
         segments = self.manifest.segments
@@ -228,15 +243,24 @@ class SegmentTable:
             if now - self.files.modified(f"{self.path}/manifest/{name}") >= retain:
                 self.files.remove(f"{self.path}/manifest/{name}")
         retired = dict(map(tuple, newest.retired))
-        alive = {f"{s}v{v}" for s, v, _ in newest.segments}
-        for name in self.files.names(f"{self.path}/data"):
-            if name not in alive and now - retired.get(name, self.files.modified(f"{self.path}/data/{name}")) >= retain:
-                self.files.remove(f"{self.path}/data/{name}")
-        left = set(self.files.names(f"{self.path}/data"))
+        alive = self.alive(newest)
+        for folder in ("data", "nodes"):
+            for name in self.files.names(f"{self.path}/{folder}"):
+                if name not in alive and now - retired.get(name, self.files.modified(f"{self.path}/{folder}/{name}")) >= retain:
+                    self.files.remove(f"{self.path}/{folder}/{name}")
+        left = {name for folder in ("data", "nodes") for name in self.files.names(f"{self.path}/{folder}")}
         self._commit(lambda m: {"covered": [n for n in m.covered if n not in covered], "retired": [x for x in m.retired if x[0] in left]})
 
+    def alive(self, manifest: Manifest) -> set[str]:
+        """Names of what a manifest's state is in."""
+        return {f"{s}v{v}" for s, v, _ in manifest.segments}
+
+    def sizes(self) -> dict[int, int]:
+        """Bytes of each live segment."""
+        return {s: self.files.size(self.segment_path(s, v)) for s, v, _ in self.manifest.segments}
+
     def bytes_on_disk(self) -> int:
-        return sum(self.files.size(self.segment_path(s, v)) for s, v, _ in self.manifest.segments)
+        return sum(self.sizes().values())
 
 
 class _Superseded(Exception):

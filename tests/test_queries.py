@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -47,6 +48,11 @@ def test_the_single_record_is_beside_order_0(spark, tmp_path, name, status):
     assert sorted(tuple(r) for r in Q.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == sorted(want.fetchall())
 
 
+def test_the_other_engine_is_read_from_its_tree(spark):
+    files = Q.QUERIES["kv_store_bplus"](spark, SF).inputFiles()
+    assert files and all(re.search("/data/[0-9a-f]{32}[.]parquet$", f) for f in files)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
