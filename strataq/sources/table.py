@@ -24,19 +24,21 @@ import time
 import uuid
 from base64 import b64encode
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataq.functions import keys as K
 from strataq.operators.versions import LOG, live, merged
 from strataq.plans.query import ALL, KeyQuery
 from strataq.sources.files import Appender, Files
 
 RETAIN = 600.0  # seconds that files stay for readers of an older state
 TRIES = 20
+INDEX = "no int, file string, low string, high string, bits long, words array<bigint>"
 
 
 @dataclass
@@ -51,6 +53,11 @@ class Manifest:
     root: str = ""
 
 
+def _places() -> tuple[Column, Column]:
+    """A key's two bits in a filter of ``bits``."""
+    return F.pmod(F.xxhash64("key"), F.col("bits")), F.pmod(F.hash("key").cast("long"), F.col("bits"))
+
+
 def routed(rows: DataFrame, lows: list[str], name: str = "leaf") -> DataFrame:
     """Rows with the index of the last of ascending ``lows`` that is not above the row's key (0 if all are), by binary search."""
     if len(lows) < 2:
@@ -157,17 +164,51 @@ class SegmentTable:
             version += 1
         return version
 
-    def read(self, segments: list[list[int]]) -> DataFrame:
-        """Changes of the segments, by one scan for each offset (there is one, unless writers met)."""
+    def read(self, segments: list[list[int]], only: Callable[[str], list[str]] = lambda path: [path]) -> DataFrame:
+        """Changes of the segments, by one scan for each offset (there is one, unless writers met); of a segment's folder only the paths that are asked for."""
         paths = defaultdict(list)
         for segment, version, offset in segments:
-            paths[offset].append(self.segment_path(segment, version))
+            if found := only(self.segment_path(segment, version)):
+                paths[offset] += found
         scans = [self.spark.read.schema(LOG).parquet(*at).withColumn("seq", F.col("seq") + offset) if offset else self.spark.read.schema(LOG).parquet(*at) for offset, at in paths.items()]
         return merged(*scans) if scans else self.spark.createDataFrame([], LOG)
 
     def state(self, manifest: Manifest, query: KeyQuery = ALL, keys: DataFrame | None = None) -> tuple[DataFrame, bool]:
         """All changes that the manifest has within the query's bounds, or of ``keys``, and others, perhaps; and whether each key is there once."""
-        return self.read(manifest.segments), len(manifest.segments) < 2
+        only = {} if keys is None else {"only": lambda path: self.files_of(path, keys)}
+        return self.read(manifest.segments, **only), len(manifest.segments) < 2
+
+    # --- indexes of segments ---
+
+    def index(self, path: str) -> DataFrame:
+        """A row for each of a segment's files: no, file, low, high and its keys' Bloom filter, in ``words`` of 64 of its ``bits``. It is made when it is first asked for and stays in the segment's folder."""
+        at = f"{path}/_index"
+        if not self.files.exists(at):
+            rows = self.spark.read.schema(LOG).parquet(path).select("key", F.substring_index("_metadata.file_path", "/", -1).alias("file"))
+            bits = K.bloom_bits(F.count("*"), float(self.options.get("LSM_BLOOM_FILTER_FALSE_POSITIVE_RATE", 0.01)))
+            found = sorted(rows.groupBy("file").agg(F.min("key"), F.max("key"), bits).collect(), key=lambda r: r[1])
+            files = F.broadcast(self.spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "no int, file string, low string, high string, bits long"))
+            place = rows.join(files, "file").select("no", F.explode(F.array(*_places())).alias("place"))
+            bit = place.select("no", F.expr("int(place div 64)").alias("word"), F.expr("shiftleft(1L, int(place % 64))").alias("bit"))
+            none = files.select("no", F.explode(F.expr("sequence(0, int(bits div 64) - 1)")).alias("word"), F.lit(0).cast("long").alias("bit"))
+            words = bit.unionAll(none).groupBy("no", "word").agg(F.bit_or("bit").alias("bit")).groupBy("no").agg(F.array_sort(F.collect_list(F.struct("word", "bit")))["bit"].alias("words"))
+            written = f"{path}/_new-{uuid.uuid4().hex}"
+            words.join(files, "no").coalesce(1).write.parquet(written)
+            if not self.files.rename_new(written, at):  # another reader made it meanwhile
+                self.files.remove(written)
+        return self.spark.read.schema(INDEX).parquet(at)
+
+    def files_of(self, path: str, keys: DataFrame) -> list[str]:
+        """A segment's files that may hold some of ``keys``: by their bounds, and then their Bloom filters."""
+        index = self.index(path)
+        found = index.select("no", "file", "low").orderBy("low").collect()
+        if not found:
+            return []
+        placed = routed(keys.select("key"), [r["low"] for r in found], "no").join(index, "no").where("key >= low and key <= high")
+        held = [F.expr(f"(shiftright(get(words, int({name} div 64)), int({name} % 64)) & 1) = 1") for name in ("first", "second")]
+        first, second = _places()
+        hit = placed.withColumns({"first": first, "second": second}).where(held[0] & held[1]).select("no").distinct().collect()
+        return [f"{path}/{found[r['no']]['file']}" for r in sorted(hit)]
 
     def read_segments(self) -> DataFrame:
         """Changes of the live segments with segment_id."""
